@@ -82,11 +82,13 @@ def selected(hits: DataFrame, dedupe: bool = True) -> DataFrame:
 
 
 def categorize(rows: DataFrame, rules: Sequence[Rule], lookup: DataFrame, row_id: str, target: str, std_type: str,
-               assay_id: str, text: str, low: int = LHD_LOW, high: int = LHD_HIGH) -> DataFrame:
+               assay_id: str, text: str, low: int = LHD_LOW, high: int = LHD_HIGH,
+               lookup_id: str | None = None) -> DataFrame:
     """Long table (row_id, level, target, effect, assay, std_type, assay_id); NULL where a part is not applicable.
 
     ``hhd`` groups by target and type, ``mhd`` also by effect and assay, ``lhd`` by a single assay id within
-    the size limits, ``mhd-effect`` pools a target's rows of one effect.
+    the size limits, ``mhd-effect`` pools a target's rows of one effect.  The lookup lists assay ids, or values
+    of ``lookup_id`` where another column is named.
     """
     none = F.lit(None).cast("string")
 
@@ -96,8 +98,10 @@ def categorize(rows: DataFrame, rules: Sequence[Rule], lookup: DataFrame, row_id
                             F.col(target).cast("string").alias("target"),
                             *[v.cast("string").alias(k) for k, v in cells.items()])
 
-    hits = apply_lookup(match_rules(rows.select(row_id, target, std_type, assay_id, text), rules, text, std_type)
-                        .drop(text), lookup, target, std_type, assay_id)
+    listed = lookup_id or assay_id
+    needed = list(dict.fromkeys([row_id, target, std_type, assay_id, listed, text]))
+    hits = apply_lookup(match_rules(rows.select(*needed), rules, text, std_type).drop(text), lookup, target, std_type,
+                        listed)
     chosen = selected(hits)
     effect, assay, kind = F.col("effect"), F.col("assay"), F.col(std_type)
     single = gate_by_size(chosen, [target, "effect", "assay", std_type, assay_id], [row_id], low, high)

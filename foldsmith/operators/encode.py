@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import keep_first
@@ -50,3 +50,8 @@ def to_triplets(rows: DataFrame, item: str, group: str, label: str, value: str,
 def gather_features(triplets: DataFrame, items: DataFrame, groups: DataFrame, item: str, group: str) -> DataFrame:
     """Triplets with the features of both sides: two equi-joins, sizes decided at run time."""
     return triplets.join(items, item).join(groups, group)
+
+
+def number_groups(groups: DataFrame, owner: str, first: str, out: str) -> DataFrame:
+    """Ordinal of each group within its owner by the group's first id.  Runs over groups, never over rows."""
+    return groups.withColumn(out, F.dense_rank().over(Window.partitionBy(owner).orderBy(first)).cast("long"))

@@ -13,12 +13,13 @@ SALTS = 32
 
 
 def join_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], salt: Sequence[str], size: str = "n",
-                     how: str = "inner") -> DataFrame:
+                     how: str = "inner", keep: Column | None = None) -> DataFrame:
     """Attach per-group ``stats`` to ``rows`` by ``keys`` without gathering a hot group in one task.
 
     ``stats`` has one row per group and its row count in ``size``.  A group above 1/1000 of all rows is hot;
     there can be at most 1000 such groups, which bounds the broadcast.  Their rows are spread over ``SALTS``
     partitions by a hash of the ``salt`` columns (a row id), and only their stats rows are repeated.
+    ``keep`` limits the groups joined; a hot group it rejects is spread all the same.
     """
     keys = list(keys)
     total = stats.agg(F.sum(size)).scalar()
@@ -27,7 +28,7 @@ def join_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], sal
     spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int")).otherwise(0)
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = flagged.withColumn("_salt", F.explode(copies)).drop("_hot")
+    right = (flagged if keep is None else flagged.filter(keep)).withColumn("_salt", F.explode(copies)).drop("_hot")
     if how in ("left_semi", "left_anti"):
         right = right.select(*keys, "_salt")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
@@ -39,8 +40,7 @@ def gate_by_size(rows: DataFrame, keys: Sequence[str], salt: Sequence[str], low:
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     tests = [t for bound, t in ((low, F.col("n") >= F.lit(low)), (high, F.col("n") <= F.lit(high)))
              if bound is not None]
-    passing = sizes.filter(reduce(lambda a, b: a & b, tests)) if tests else sizes
-    return join_group_stats(rows, passing, keys, salt, how="left_semi")
+    return join_group_stats(rows, sizes, keys, salt, how="left_semi", keep=reduce(lambda a, b: a & b, tests, F.lit(True)))
 
 
 def anti_all_columns(left: DataFrame, right: DataFrame) -> DataFrame:

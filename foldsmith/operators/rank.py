@@ -71,19 +71,21 @@ def with_value_bucket(df: DataFrame, value: str, buckets: int = 256, out: str =
 
 
 def group_cumsum(df: DataFrame, part: Sequence[str], value: str, sums: Sequence[str], descending: bool = False,
-                 buckets: int = 256, prefix: str = "before_") -> DataFrame:
-    """For rows unique on ``(part, value)``: sum of each ``sums`` column over earlier values, as ``before_<col>``."""
+                 buckets: int = 256) -> DataFrame:
+    """For rows unique on ``(part, value)``: ``before_<col>``, the sum over earlier values, and ``total_<col>``."""
     part, sums = list(part), list(sums)
     cut = with_value_bucket(df, value, buckets)
     per = cut.groupBy(*part, "_bucket").agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     offsets = _prefix_sum(per, part, [way("_bucket")], [f"_s_{s}" for s in sums], [f"_o_{s}" for s in sums])
-    offsets = offsets.select(*part, "_bucket", *[f"_o_{s}" for s in sums])
+    whole = Window.partitionBy(*([F.col(p) for p in part] or [F.lit(0)]))
+    offsets = offsets.select(*part, "_bucket", *[f"_o_{s}" for s in sums],
+                             *[F.sum(f"_s_{s}").over(whole).alias(f"total_{s}") for s in sums])
     within = (Window.partitionBy(*part, "_bucket").orderBy(way(value))
               .rowsBetween(Window.unboundedPreceding, -1))
     running = cut.withColumns({f"_r_{s}": F.coalesce(F.sum(s).over(within), F.lit(0)) for s in sums})
     out = running.join(offsets, [*part, "_bucket"])
-    return (out.withColumns({f"{prefix}{s}": F.col(f"_r_{s}") + F.col(f"_o_{s}") for s in sums})
+    return (out.withColumns({f"before_{s}": F.col(f"_r_{s}") + F.col(f"_o_{s}") for s in sums})
             .drop("_bucket", *[f"_r_{s}" for s in sums], *[f"_o_{s}" for s in sums]))
 
 
