@@ -4,31 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import keep_first
-from .rank import distributed_rank
+from .rank import rank_by_value
 
 
 def encode_ids(rows: DataFrame, column: str, order: str, out: str) -> DataFrame:
-    """Dictionary (column, out): 0, 1, 2 ... by first appearance in ``order`` (a unique non-negative integer)."""
+    """Dictionary (column, out): 0, 1, 2 ... by first appearance in ``order`` (a unique number)."""
     firsts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
-    return rank_by_number(firsts, "_first", out).select(column, out)
-
-
-def rank_by_number(rows: DataFrame, number: str, out: str, per_bucket: int = 1_000_000) -> DataFrame:
-    """0-based rank by a unique non-negative integer column, sorted in ranges of ``per_bucket`` values.
-
-    Values are unique, so a range can hold no more rows than that.
-    """
-    return distributed_rank(rows, [], _range_key(number, per_bucket), [F.col(number)], out, digits=12)
-
-
-def _range_key(number: str, per_bucket: int) -> Column:
-    high = F.lpad(F.lower(F.hex(F.floor(F.col(number) / per_bucket).cast("long"))), 12, "0")
-    low = F.lpad(F.lower(F.hex(F.pmod(F.col(number), F.lit(per_bucket)).cast("long"))), 5, "0")
-    return F.concat(high, low)
+    return rank_by_value(firsts, [], "_first", out=out).select(column, out)
 
 
 def to_triplets(rows: DataFrame, item: str, group: str, label: str, value: str, split: str, order: str,

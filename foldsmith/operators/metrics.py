@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..session import materialize
 from .joins import join_group_stats
-from .rank import distributed_rank, group_cumsum, seeded_order
+from .rank import distributed_rank, group_cumsum, group_quantiles, seeded_order
 
 # fixed values: early-recognition weights in use
 ALPHA_BROAD, ALPHA_TWO_PERCENT, ALPHA_HALF_PERCENT = 20.0, 80.5, 321.9
@@ -160,10 +160,11 @@ def mean_log_loss(rows: DataFrame, group: Sequence[str], logit: str, label: str)
 
 
 def rank_accuracy(ranks: DataFrame, group: Sequence[str], rank: str, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """Top-k accuracy and mean rank over 1-based ranks of the correct choice."""
-    return ranks.groupBy(*group).agg(
+    """Top-k accuracy, mean and median rank over 1-based ranks of the correct choice."""
+    means = ranks.groupBy(*group).agg(
         F.count("*").alias("n"), F.avg(rank).alias("mean_rank"),
         *[F.avg((F.col(rank) <= k).cast("double")).alias(f"top{k}") for k in ks])
+    return means.join(group_quantiles(ranks, group, rank, {"median_rank": 0.5}), list(group))
 
 
 def overlap_of_tests(parent: DataFrame, child: DataFrame, pair: Sequence[str], row_id: str) -> DataFrame:

@@ -45,13 +45,22 @@ def distributed_rank(df: DataFrame, part: Sequence[str], key: Column, tie: Seque
     else:
         width = F.lit(digits)
     keyed = keyed.withColumn("_bucket", F.substr("_key", F.lit(1), width))
-    counts = keyed.groupBy(*part, "_bucket").agg(F.count("*").alias("_n"))
+    return _rank_in_buckets(keyed, part, [F.col("_key"), *tie], out).drop("_key")
+
+
+def rank_by_value(df: DataFrame, part: Sequence[str], value: str, tie: Sequence[Column] = (), out: str = "rank",
+                  buckets: int = 1024) -> DataFrame:
+    """0-based rank within ``part`` by a numeric column whose values hardly repeat, bucketed by its quantiles."""
+    return _rank_in_buckets(with_value_bucket(df, value, buckets), list(part), [F.col(value), *tie], out)
+
+
+def _rank_in_buckets(cut: DataFrame, part: list[str], order: Sequence[Column], out: str) -> DataFrame:
+    counts = cut.groupBy(*part, "_bucket").agg(F.count("*").alias("_n"))
     offsets = _prefix_sum(counts, part, [F.col("_bucket")], ["_n"], ["_off"]).drop("_n")
-    within = Window.partitionBy(*part, "_bucket").orderBy("_key", *tie)
-    ranked = keyed.withColumn("_rn", F.row_number().over(within))
+    within = Window.partitionBy(*part, "_bucket").orderBy(*order)
+    ranked = cut.withColumn("_rn", F.row_number().over(within))
     return (ranked.join(offsets, [*part, "_bucket"])
-            .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long"))
-            .drop("_key", "_bucket", "_rn", "_off"))
+            .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_bucket", "_rn", "_off"))
 
 
 def with_value_bucket(df: DataFrame, value: str, buckets: int = 256, out: str = "_bucket") -> DataFrame:

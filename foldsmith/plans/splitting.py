@@ -125,20 +125,20 @@ def holdout_whole_groups(t):
 
 @query("i18_ordered_split", """SELECT o_orderkey, CASE WHEN r < c1 THEN 'train' WHEN r < c1 + round_even((n - c1) / 2, 0) THEN 'valid'
     ELSE 'test' END AS role FROM (SELECT *, round_even(0.6 * n, 0) AS c1 FROM (SELECT o_orderkey,
-      row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders))""")
+      row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), md5('0:' || o_orderkey)) - 1 AS r, count(*) OVER () AS n FROM orders))""")
 def ordered_split(t):
-    ranked = K.distributed_rank(t.orders, [], _dated(F.col("o_orderdate"), F.col("o_orderkey")), [F.col("o_orderkey")], digits=10)
+    ranked = K.distributed_rank(t.orders, [], by_day(F.col("o_orderdate"), "o_orderkey"), [F.col("o_orderkey")], digits=10)
     return S.ordered_split(ranked, "rank").select("o_orderkey", "role")
 
 
-def _dated(day, key):
-    """Day, then a spread-out part of the key: one busy day is still cut in many buckets."""
-    return F.concat(F.date_format(day, "yyyyMMdd"), F.lpad(F.hex(key), 16, "0"))
+def by_day(day, row_id):
+    """Day, then the seeded order within it: a busy day is still cut in 256 buckets by the two digits after the day."""
+    return F.concat(F.date_format(day, "yyyyMMdd"), K.seeded_order(0, row_id))
 
 
-@query("e5_ordered_cut", """SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS rank FROM orders""")
+@query("e5_ordered_cut", """SELECT o_orderkey, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), md5('0:' || o_orderkey)) - 1 AS rank FROM orders""")
 def ordered_rank(t):
-    ranked = K.distributed_rank(t.orders, [], _dated(F.col("o_orderdate"), F.col("o_orderkey")), [F.col("o_orderkey")], digits=10)
+    ranked = K.distributed_rank(t.orders, [], by_day(F.col("o_orderdate"), "o_orderkey"), [F.col("o_orderkey")], digits=10)
     return ranked.select("o_orderkey", "rank")
 
 
