@@ -20,9 +20,7 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column, eps: float = 1e-13) -> Column:
     """L2-normalized copy; ``eps`` keeps a zero vector finite."""
-    length = norm(v) + eps
-    return F.transform(F.arrays_zip(v.alias("x"), F.array_repeat(length, F.size(v)).alias("l")),
-                       lambda z: z["x"].cast("double") / z["l"])
+    return F.zip_with(v, F.array_repeat(norm(v) + eps, F.size(v)), lambda x, length: x.cast("double") / length)
 
 
 def sigmoid(z: Column) -> Column:

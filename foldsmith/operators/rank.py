@@ -68,13 +68,13 @@ def with_value_bucket(df: DataFrame, value: str, buckets: int = 256, out: str =
 
     The cuts are one sketch row computed inside the plan; each lookup is a binary search over them.
     """
-    probs = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
-    cuts = df.agg(F.percentile_approx(value, probs, F.lit(10 * buckets)).alias("c")).scalar()
+    probs = ", ".join(f"{(i + 1) / buckets}D" for i in range(buckets - 1))
+    cuts = df.agg(F.expr(f"percentile_approx(`{value}`, array({probs}), {10 * buckets})").alias("c")).scalar()
     steps, step = [], buckets // 2
     while step:
-        steps.append(F.lit(step))
+        steps.append(str(step))
         step //= 2
-    found = F.aggregate(F.array(*steps), F.lit(0),
+    found = F.aggregate(F.expr(f"array({', '.join(steps)})"), F.lit(0),
                         lambda at, s: F.when(F.col(value) > F.get("_cuts", at + s - 1), at + s).otherwise(at))
     return df.withColumn("_cuts", cuts).withColumn(out, found).drop("_cuts")
 

@@ -104,20 +104,20 @@ def identifier_parts(t):
     '[^\\p{L}\\p{N}]+')) AS w FROM documents) WHERE w <> '' AND w NOT IN ('the', 'of', 'and', 'de', 'la', 'der', 'to', 'in', 'a')
     GROUP BY 1 ORDER BY n DESC, term LIMIT 50""")
 def term_frequencies(t):
-    return FE.term_frequencies(t.documents, "text", ["the", "of", "and", "de", "la", "der", "to", "in", "a"], top=50)
+    return FE.term_frequencies(t.texts("text"), "text", ["the", "of", "and", "de", "la", "der", "to", "in", "a"], top=50)
 
 
 @query("h11_hashed_fingerprint", f"""SELECT doc_id, count(*) AS n_bits, md5(string_agg(bit::VARCHAR, ',' ORDER BY bit)) AS signature
     FROM ({BITS_SQL}) GROUP BY 1""")
 def hashed_fingerprint(t):
-    bits = t.documents.select("doc_id", X.fingerprint(F.col("text")).alias("bits")).filter(F.size("bits") > 0)
+    bits = t.texts("text").select("doc_id", X.fingerprint(F.col("text")).alias("bits")).filter(F.size("bits") > 0)
     return bits.select("doc_id", F.size("bits").cast("long").alias("n_bits"), X.signature(F.col("bits")).alias("signature"))
 
 
 @query("h11_count_fingerprint", f"""SELECT doc_id, CAST(CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) % 1024 AS INTEGER) AS bit,
     count(*) AS n FROM ({grams_sql(1)} UNION ALL {grams_sql(2)}) GROUP BY 1, 2""")
 def count_fingerprint(t):
-    return FE.count_fingerprint(t.documents, "doc_id", "text", 1024, (1, 2))
+    return FE.count_fingerprint(t.texts("text"), "doc_id", "text", 1024, (1, 2))
 
 
 @query("h12_combined_fingerprint", f"""WITH a AS (SELECT doc_id, CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) AS h FROM ({grams_sql(1)})),
@@ -128,8 +128,8 @@ def count_fingerprint(t):
     UNION ALL SELECT doc_id, 'concatenated', CAST(256 + h % 256 AS INTEGER), round(ln(1 + count(*)), 6) FROM b GROUP BY 1, 3""")
 def combined_fingerprint(t):
     kinds = [(1,), (2,)]
-    folded = FE.combine_fingerprints(t.documents, "doc_id", "text", kinds, 512, concatenate=False)
-    joined = FE.combine_fingerprints(t.documents, "doc_id", "text", kinds, 512, concatenate=True)
+    folded = FE.combine_fingerprints(t.texts("text"), "doc_id", "text", kinds, 512, concatenate=False)
+    joined = FE.combine_fingerprints(t.texts("text"), "doc_id", "text", kinds, 512, concatenate=True)
     return (folded.withColumn("mode", F.lit("folded")).unionByName(joined.withColumn("mode", F.lit("concatenated")))
             .withColumn("value", F.round("value", 6)))
 
@@ -137,7 +137,7 @@ def combined_fingerprint(t):
 @query("h13_max_pooled_bits", f"""SELECT source, count(*) AS n_bits, CAST(sum(bit) AS BIGINT) AS bit_sum FROM (SELECT DISTINCT source, bit
     FROM ({BITS_SQL}) JOIN documents USING (doc_id)) GROUP BY 1""")
 def max_pooled_bits(t):
-    pooled = FE.max_pool_bits(t.documents.select("source", X.fingerprint(F.col("text")).alias("bits")), ["source"], "bits")
+    pooled = FE.max_pool_bits(t.texts("source", "text").select("source", X.fingerprint(F.col("text")).alias("bits")), ["source"], "bits")
     return pooled.groupBy("source").agg(F.count("*").alias("n_bits"), F.sum("bit").alias("bit_sum"))
 
 

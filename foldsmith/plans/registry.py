@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 
 class Tables:
     """Parquet tables of one folder as attributes."""
@@ -16,6 +18,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, *columns: str) -> DataFrame:
+        """Documents for costly per-text work."""
+        return spread(self.documents.select("doc_id", *columns), "doc_id")
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -55,3 +55,12 @@ def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataF
     out = df.sortWithinPartitions(*by) if by else df
     out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Divide a table that comes in fewer splits than there are cores before costly per-row work.
+
+    A table of many splits, as any large one is, passes through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
