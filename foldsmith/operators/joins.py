@@ -9,26 +9,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1000
-SALTS = 32
+HOT_ROWS = 100_000
 
 
 def join_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], salt: Sequence[str], size: str = "n",
                      how: str = "inner", keep: Column | None = None) -> DataFrame:
     """Attach per-group ``stats`` to ``rows`` by ``keys`` without gathering a hot group in one task.
 
-    ``stats`` has one row per group and its row count in ``size``.  A group above 1/1000 of all rows is hot;
-    there can be at most 1000 such groups, which bounds the broadcast.  Their rows are spread over ``SALTS``
-    partitions by a hash of the ``salt`` columns (a row id), and only their stats rows are repeated.
-    ``keep`` limits the groups joined; a hot group it rejects is spread all the same.
+    ``stats`` has one row per group and its row count in ``size``.  A group above 1/1000 of all rows (and
+    ``HOT_ROWS``) is hot; there can be at most 1000 such groups, which bounds the broadcast.  Their rows are spread
+    by a hash of the ``salt`` columns (a row id) over as many shares as bring each back to that size, and only
+    their stats rows are repeated.  ``keep`` limits the groups joined; a hot group it rejects is spread all the same.
     """
     keys = list(keys)
-    total = stats.agg(F.sum(size)).scalar()
-    flagged = stats.withColumn("_hot", F.col(size) > F.greatest(total / F.lit(HOT_SHARE), F.lit(100_000)))
-    hot = flagged.filter("_hot").select(*keys, "_hot")
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int")).otherwise(0)
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = (flagged if keep is None else flagged.filter(keep)).withColumn("_salt", F.explode(copies)).drop("_hot")
+    share = F.greatest(stats.agg(F.sum(size)).scalar() / F.lit(HOT_SHARE), F.lit(HOT_ROWS))
+    flagged = stats.withColumn("_shares", F.ceil(F.col(size) / share).cast("int"))
+    hot = flagged.filter("_shares > 1").select(*keys, "_shares")
+    spread = F.when(F.col("_shares") > 1, F.pmod(F.xxhash64(*salt), F.col("_shares")).cast("int")).otherwise(0)
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).drop("_shares")
+    kept = flagged if keep is None else flagged.filter(keep)
+    right = kept.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest("_shares", F.lit(1)) - 1))).drop("_shares")
     if how in ("left_semi", "left_anti"):
         right = right.select(*keys, "_salt")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,3 +140,9 @@ def median_vectors(rows: DataFrame, keys: Sequence[str], vector: str) -> DataFra
     """Component-wise exact median per key, in long form (keys, dim, median)."""
     cells = rows.select(*keys, F.posexplode(vector).alias("dim", "_x"))
     return group_quantiles(cells, [*keys, "dim"], "_x", {"median": 0.5})
+
+
+def stage_sizes(stages: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Rows per key after each stage, side by side; a key a stage has lost shows NULL there."""
+    sizes = [df.groupBy(*keys).agg(F.count("*").alias(f"n_{name}")) for name, df in stages.items()]
+    return reduce(lambda a, b: a.join(b, list(keys), "outer"), sizes)

@@ -30,8 +30,8 @@ def stratified_folds(rows: DataFrame, dataset: Sequence[str], row_id: str, label
                      seed: int = 42) -> DataFrame:
     """Test fold of each row, classes dealt out evenly in seeded order.
 
-    ``k`` falls to the dataset's smaller class where that is smaller; below two folds, or with one class only,
-    the dataset is left out.
+    ``k`` falls to the size of the dataset's smallest class where that is less; below two folds the dataset is left
+    out.
     """
     dataset = list(dataset)
     labelled = rows.filter(F.col(label).isNotNull()).select(*dataset, row_id, label)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import encode as E
+from ..operators import metrics as M
 from ..operators import rank as K
 from ..operators import splits as S
 from ..session import materialize
@@ -223,21 +224,45 @@ ALIGN_SQL = """WITH p AS (SELECT event_type AS pair, event_id AS id, json_extrac
         ELSE 'train' END AS role FROM (SELECT DISTINCT pair, drop_siblings, fold FROM c) k JOIN p USING (pair)
       LEFT JOIN c ON c.pair = k.pair AND c.drop_siblings = k.drop_siblings AND c.fold = k.fold AND c.id = p.id AND c.role = 'test'),
     ca AS (SELECT c.pair, c.drop_siblings, c.fold, c.id, CASE WHEN c.role = 'test' AND pa.id IS NULL THEN NULL ELSE c.role END AS role
-      FROM c LEFT JOIN pa ON pa.pair = c.pair AND pa.drop_siblings = c.drop_siblings AND pa.fold = c.fold AND pa.id = c.id AND pa.role = 'test')
-    SELECT side, pair, drop_siblings, fold, role, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM (
-      SELECT 'parent' AS side, * FROM pa UNION ALL SELECT 'child', * FROM ca) GROUP BY ALL"""
+      FROM c LEFT JOIN pa ON pa.pair = c.pair AND pa.drop_siblings = c.drop_siblings AND pa.fold = c.fold AND pa.id = c.id AND pa.role = 'test')"""
 
 
-@query("i15_aligned_split", ALIGN_SQL)
-def aligned_split(t):
+def aligned_sides(t):
     e = t.events.select(F.col("event_type").alias("pair"), F.col("event_id").alias("id"), "value", "user_id",
                         F.get_json_object("props", "$.k").isin("7", "8").alias("has_sibling"))
     child = (e.filter("user_id < 60 AND value > 5")
              .select("pair", "id", F.explode(F.array(F.lit(True), F.lit(False))).alias("drop_siblings"))
              .select("*", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("fold")))
     child = child.withColumn("role", F.when(F.col("id") % 3 == F.col("fold"), "test").otherwise("train"))
-    sides = S.aligned_split(e.filter("value < 90"), child, ["pair"], "id")
+    return S.aligned_split(e.filter("value < 90"), child, ["pair"], "id"), child
+
+
+@query("i15_aligned_split", ALIGN_SQL + """ SELECT side, pair, drop_siblings, fold, role, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM (
+      SELECT 'parent' AS side, * FROM pa UNION ALL SELECT 'child', * FROM ca) GROUP BY ALL""")
+def aligned_split(t):
+    sides, _ = aligned_sides(t)
     both = (sides["parent"].withColumn("side", F.lit("parent"))
             .unionByName(sides["child"].withColumn("side", F.lit("child"))))
     return both.groupBy("side", "pair", "drop_siblings", "fold", "role").agg(
         F.count("*").alias("n"), F.sum("id").alias("id_sum"))
+
+
+@query("i32_overlap_report", ALIGN_SQL + """, u AS (SELECT pair, drop_siblings, fold, id, bool_or(side = 'p') AS p, bool_or(side = 'c') AS c FROM (
+      SELECT 'p' AS side, pair, drop_siblings, fold, id FROM pa WHERE role = 'test'
+      UNION ALL SELECT 'c', pair, drop_siblings, fold, id FROM c WHERE role = 'test') GROUP BY ALL)
+    SELECT pair, drop_siblings, fold, count(*) FILTER (p) AS parent_count, count(*) FILTER (c) AS child_count,
+      count(*) FILTER (p AND c) AS intersection_count, coalesce(count(*) FILTER (p AND c) / nullif(count(*) FILTER (c), 0), 0) AS coverage,
+      coalesce(count(*) FILTER (p AND c) / nullif(count(*) FILTER (p), 0), 0) AS inclusion,
+      count(*) FILTER (p AND NOT c) AS unique_to_parent, count(*) FILTER (c AND NOT p) AS unique_to_child FROM u GROUP BY 1, 2, 3""")
+def overlap_report(t):
+    sides, child = aligned_sides(t)
+    return M.overlap_of_tests(sides["parent"].filter("role = 'test'"), child.filter("role = 'test'"), ["pair", "drop_siblings", "fold"], "id")
+
+
+@query("i32_split_audit", f"""WITH {ROWS_SQL}, f AS (SELECT ds, y, sib, rk % k AS tf, k FROM {folds_sql()} WHERE k >= 2)
+    SELECT ds, CAST(fold AS INTEGER) AS fold, CASE WHEN fold = tf THEN 'test' ELSE 'train' END AS role, sib, count(*) AS n,
+      CAST(sum(y) AS BIGINT) AS positives FROM (SELECT *, unnest(range(0, k)) AS fold FROM f) GROUP BY 1, 2, 3, 4""")
+def split_audit(t):
+    rows = labelled(t)
+    a = S.stratified_kfold(rows, ["ds"], "id", "y").join(rows.select("id", "y", "sib"), "id")
+    return a.groupBy("ds", "fold", "role", "sib").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
