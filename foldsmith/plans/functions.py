@@ -7,6 +7,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import features as FE
 from ..operators import report as R
+from ..session import materialize
 from .registry import query
 
 TOKENS_SQL = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '')"
@@ -107,11 +108,16 @@ def term_frequencies(t):
     return FE.term_frequencies(t.texts("text"), "text", ["the", "of", "and", "de", "la", "der", "to", "in", "a"], top=50)
 
 
+def fingerprints(t, *columns: str):
+    """Stored fingerprints of the documents that have any word; the text is read once and left behind."""
+    bits = t.texts(*columns, "text").select("doc_id", *columns, X.fingerprint(F.col("text")).alias("bits"))
+    return materialize(bits, "fingerprints").filter(F.size("bits") > 0)
+
+
 @query("h11_hashed_fingerprint", f"""SELECT doc_id, count(*) AS n_bits, md5(string_agg(bit::VARCHAR, ',' ORDER BY bit)) AS signature
     FROM ({BITS_SQL}) GROUP BY 1""")
 def hashed_fingerprint(t):
-    bits = t.texts("text").select("doc_id", X.fingerprint(F.col("text")).alias("bits")).filter(F.size("bits") > 0)
-    return bits.select("doc_id", F.size("bits").cast("long").alias("n_bits"), X.signature(F.col("bits")).alias("signature"))
+    return fingerprints(t).select("doc_id", F.size("bits").cast("long").alias("n_bits"), X.signature(F.col("bits")).alias("signature"))
 
 
 @query("h11_count_fingerprint", f"""SELECT doc_id, CAST(CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) % 1024 AS INTEGER) AS bit,
@@ -137,7 +143,7 @@ def combined_fingerprint(t):
 @query("h13_max_pooled_bits", f"""SELECT source, count(*) AS n_bits, CAST(sum(bit) AS BIGINT) AS bit_sum FROM (SELECT DISTINCT source, bit
     FROM ({BITS_SQL}) JOIN documents USING (doc_id)) GROUP BY 1""")
 def max_pooled_bits(t):
-    pooled = FE.max_pool_bits(t.texts("source", "text").select("source", X.fingerprint(F.col("text")).alias("bits")), ["source"], "bits")
+    pooled = FE.max_pool_bits(fingerprints(t, "source"), ["source"], "bits")
     return pooled.groupBy("source").agg(F.count("*").alias("n_bits"), F.sum("bit").alias("bit_sum"))
 
 

@@ -8,8 +8,7 @@ from ..operators import metrics as M
 from ..operators import neighbors as N
 from ..operators import report as R
 from ..operators import similarity as S
-from ..session import materialize
-from .functions import BITS_SQL, TOKENS_SQL
+from .functions import BITS_SQL, TOKENS_SQL, fingerprints
 from .registry import query
 
 SETS_SQL = f"""g AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS tok FROM (SELECT doc_id, w,
@@ -83,8 +82,7 @@ def similar_by_any(t):
 @query("c14_equivalence_siblings", f"""SELECT doc_id, lang, count(*) OVER (PARTITION BY lang, sig) > 1 AS has_sibling FROM (
     SELECT doc_id, md5(string_agg(bit::VARCHAR, ',' ORDER BY bit)) AS sig FROM ({BITS_SQL}) GROUP BY 1) JOIN documents USING (doc_id)""")
 def equivalence_siblings(t):
-    bits = t.texts("lang", "text").select("doc_id", "lang", X.fingerprint(F.col("text")).alias("bits"))
-    signed = materialize(bits.filter(F.size("bits") > 0).select("doc_id", "lang", X.signature(F.col("bits")).alias("sig")), "signatures")
+    signed = fingerprints(t, "lang").select("doc_id", "lang", X.signature(F.col("bits")).alias("sig"))
     return C.flag_siblings(signed, ["lang"], "sig", "doc_id").drop("sig")
 
 
