@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from .joins import gate_by_size
+from .joins import gate_by_size, join_dimension
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,7 @@ def match_rules(rows: DataFrame, rules: Sequence[Rule], text: str, std_type: str
     return hits.select(*rows.columns, "_rule.effect", "_rule.assay", "_rule.matched")
 
 
-def apply_lookup(hits: DataFrame, lookup: DataFrame, target: str, std_type: str, assay_id: str) -> DataFrame:
+def apply_lookup(hits: DataFrame, lookup: DataFrame, target: str, std_type: str, assay_id: str, row_id: str) -> DataFrame:
     """Marks each hit with ``plus`` and ``excluded`` from a curated id list.
 
     Several list entries for one id fold into one, so the join adds no rows.
@@ -64,7 +64,7 @@ def apply_lookup(hits: DataFrame, lookup: DataFrame, target: str, std_type: str,
     listed = lookup.groupBy("target", "effect", "assay", "std_type", "assay_id").agg(
         F.max(F.col("action") == "plus").alias("plus"), F.max(F.col("action") == "exclude").alias("excluded"))
     listed = listed.withColumnsRenamed({"target": target, "std_type": std_type, "assay_id": assay_id})
-    joined = hits.join(listed, [target, "effect", "assay", std_type, assay_id], "left")
+    joined = join_dimension(hits, listed, [target, "effect", "assay", std_type, assay_id], [row_id], "left")
     return joined.withColumns({"plus": F.coalesce("plus", F.lit(False)),
                                "excluded": F.coalesce("excluded", F.lit(False))})
 
@@ -101,7 +101,7 @@ def categorize(rows: DataFrame, rules: Sequence[Rule], lookup: DataFrame, row_id
     listed = lookup_id or assay_id
     needed = list(dict.fromkeys([row_id, target, std_type, assay_id, listed, text]))
     hits = apply_lookup(match_rules(rows.select(*needed), rules, text, std_type).drop(text), lookup, target, std_type,
-                        listed)
+                        listed, row_id)
     chosen = selected(hits)
     effect, assay, kind = F.col("effect"), F.col("assay"), F.col(std_type)
     single = gate_by_size(chosen, [target, "effect", "assay", std_type, assay_id], [row_id], low, high)

@@ -34,6 +34,12 @@ def join_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], sal
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_dimension(rows: DataFrame, dim: DataFrame, keys: Sequence[str], salt: Sequence[str], how: str = "inner") -> DataFrame:
+    """:func:`join_group_stats` for a dimension (one row per key) that does not carry the sizes of its groups."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return join_group_stats(rows, sizes.join(dim, list(keys), how), keys, salt, size="_n", how=how).drop("_n")
+
+
 def gate_by_size(rows: DataFrame, keys: Sequence[str], salt: Sequence[str], low: int | None = None,
                  high: int | None = None) -> DataFrame:
     """Rows of the groups with ``low <= size <= high``; an open bound is not tested."""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.text import bind
 from ..session import materialize
-from .joins import join_group_stats
+from .joins import join_dimension, join_group_stats
 from .rank import distributed_rank, seeded_order
 
 BLOCK = 2048
@@ -90,9 +90,11 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str = "id",
                            F.pmod(F.xxhash64(query_id), F.lit(query_blocks)).cast("int").alias("qb"))
     routed = asked.mapInPandas(visit, f"qid {qkind}, vec array<double>, qb int, cell int, bb int")
     per_cell = F.create_map(*[F.lit(int(x)) for pair in zip(cells, blocks) for x in pair])
-    sided = placed.withColumns({
-        "bb": F.pmod(F.xxhash64("id"), per_cell[F.col("cell")]).cast("int"),
-        "qb": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))})
+    blocked = placed.withColumn("bb", F.pmod(F.xxhash64("id"), per_cell[F.col("cell")]).cast("int"))
+    # a base block goes only where some query block visits its group
+    visits = routed.select(F.col("cell").alias("_c"), F.col("bb").alias("_b"), F.col("qb").alias("_q")).distinct()
+    sided = (blocked.join(visits, (F.col("cell") == F.col("_c")) & (F.col("bb") == F.col("_b")))
+             .select("id", "vec", "cell", "bb", F.col("_q").alias("qb")))
 
     def nearest_in_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -118,18 +120,19 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str = "id",
 
 def assign_nearest(orphans: DataFrame, members: DataFrame, cluster: str, row_id: str = "id", vector: str = "vec") -> DataFrame:
     """Each orphan vector joins the cluster of its nearest member, the lowest id at equal distance."""
-    nearest = knn_join(orphans, members, 1, row_id, row_id, vector)
+    nearest = materialize(knn_join(orphans, members, 1, row_id, row_id, vector), "nearest")
     owner = members.select(F.col(row_id).alias("neighbor_id"), F.col(cluster))
-    return nearest.join(owner, "neighbor_id").select(F.col("query_id").alias(row_id), cluster, "distance")
+    return join_dimension(nearest, owner, ["neighbor_id"], ["query_id"]).select(F.col("query_id").alias(row_id), cluster, "distance")
 
 
 def score_pairs(links: DataFrame, items: DataFrame, groups: DataFrame, item: str, group: str, vector: str = "vec",
                 group_vector: str = "group_vec", unit: bool = True) -> DataFrame:
-    """Dot product of the (normalized) vectors of given pairs: two equi-joins, all in the JVM."""
+    """Dot product of the (normalized) vectors of given pairs: two equi-joins, all in the JVM, busy sides spread."""
     shape = V.normalize if unit else (lambda c: c)
     left = items.select(item, shape(F.col(vector)).alias("_u"))
     right = groups.select(group, shape(F.col(group_vector)).alias("_v"))
-    return links.join(left, item).join(right, group).withColumn("score", V.dot(F.col("_u"), F.col("_v"))).drop("_u", "_v")
+    placed = join_dimension(join_dimension(links, left, [item], [group]), right, [group], [item])
+    return placed.withColumn("score", V.dot(F.col("_u"), F.col("_v"))).drop("_u", "_v")
 
 
 def _block_scores(items: DataFrame, groups: DataFrame, item: str, group: str, vector: str, group_vector: str,
@@ -196,7 +199,7 @@ def truth_ranks(items: DataFrame, groups: DataFrame, item: str, truth: str, grou
 def knn_classify(train: DataFrame, test: DataFrame, k: int, row_id: str, label: str, vector: str = "vec") -> DataFrame:
     """(row_id, probability, prediction): share of positives among the ``k`` nearest training rows."""
     found = knn_join(test, train, k, row_id, row_id, vector)
-    voted = found.join(train.select(F.col(row_id).alias("neighbor_id"), label), "neighbor_id")
+    voted = join_dimension(materialize(found, "knn-votes"), train.select(F.col(row_id).alias("neighbor_id"), label), ["neighbor_id"], ["query_id"])
     share = voted.groupBy(F.col("query_id").alias(row_id)).agg(F.avg(label).alias("probability"))
     return share.withColumn("prediction", (F.col("probability") > 0.5).cast("double"))
 

@@ -58,6 +58,8 @@ def _rank_in_buckets(cut: DataFrame, part: list[str], order: Sequence[Column], o
     counts = cut.groupBy(*part, "_bucket").agg(F.count("*").alias("_n"))
     offsets = _prefix_sum(counts, part, [F.col("_bucket")], ["_n"], ["_off"]).drop("_n")
     within = Window.partitionBy(*part, "_bucket").orderBy(*order)
+    # without this, rows that arrive partitioned by ``part`` alone would be sorted where they are, a group to a task
+    cut = cut.repartition(*part, "_bucket")
     ranked = cut.withColumn("_rn", F.row_number().over(within))
     return (ranked.join(offsets, [*part, "_bucket"])
             .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_bucket", "_rn", "_off"))

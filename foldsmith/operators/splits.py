@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import join_group_stats
+from ..session import materialize
+from .joins import join_dimension, join_group_stats
 from .rank import distributed_rank, seeded_order
 
 # fixed values: which levels a level is aligned with, and the key parts that must agree
@@ -69,7 +70,7 @@ def holdout_by_group(rows: DataFrame, group: str, test_groups: Column, row_id: s
     ranked = distributed_rank(pool, [], seeded_order(seed, unit), [F.col(unit)])
     n_valid = F.greatest(F.lit(1), F.floor(pool.agg(F.count("*")).scalar() / (ratio + 1)))
     drawn = ranked.withColumn("_n", n_valid).filter("rank < _n").select(unit, F.lit("valid").alias("_drawn"))
-    joined = rows.join(drawn, unit, "left")
+    joined = join_dimension(rows, drawn, [unit], [row_id], "left")
     role = F.when(test_groups, "test").when(F.col("_drawn").isNotNull(), "valid").otherwise("train")
     return joined.select(row_id, group, role.alias("role"))
 
@@ -115,8 +116,8 @@ def unique_folds(assignments: DataFrame, dataset: Sequence[str], row_id: str) ->
     second = F.xxhash64(F.lit("2"), F.col(row_id))
     digests = tests.groupBy(*dataset, "fold").agg(
         F.count("*").alias("_n"), F.bit_xor(F.xxhash64(row_id)).alias("_a"), F.bit_xor(second).alias("_b"))
-    kept = (digests.groupBy(*dataset, "_n", "_a", "_b").agg(F.min("fold").alias("fold")).select(*dataset, "fold"))
-    return assignments.join(kept, [*dataset, "fold"], "left_semi")
+    kept = digests.groupBy(*dataset, "_n", "_a", "_b").agg(F.min("fold").alias("fold")).select(*dataset, "fold")
+    return join_dimension(assignments, kept, [*dataset, "fold"], [row_id])
 
 
 def pair_datasets(datasets: DataFrame) -> DataFrame:
@@ -142,9 +143,12 @@ def aligned_split(parent_rows: DataFrame, child_assignments: DataFrame, pair: Se
     """
     pair = list(pair)
     cell = [*pair, "drop_siblings", "fold"]
-    folds = child_assignments.select(*cell).distinct()
+    sizes = parent_rows.groupBy(*pair).agg(F.count("*").alias("n"))
+    # a pair has a handful of folds, so the list of them is short
+    folds = child_assignments.select(*cell).distinct().groupBy(*pair).agg(F.collect_list(F.struct("drop_siblings", "fold")).alias("_cells"))
     tests = child_assignments.filter(F.col("role") == "test").select(*cell, row_id, F.lit(True).alias("_in_test"))
-    wide = parent_rows.select(*pair, row_id, flag).join(folds, pair)
+    listed = join_group_stats(parent_rows.select(*pair, row_id, flag), sizes.join(folds, pair), pair, [row_id])
+    wide = listed.select(*pair, row_id, flag, F.explode("_cells").alias("_cell")).select(*pair, row_id, flag, "_cell.*")
     marked = wide.join(tests, [*cell, row_id], "left")
     role = (F.when(F.col("drop_siblings") & F.col(flag), None)
             .when(F.coalesce("_in_test", F.lit(False)), "test").otherwise("train"))
@@ -181,9 +185,9 @@ def nested_splits(assignments: DataFrame, rows: DataFrame, dataset: Sequence[str
     labelled = assignments.join(rows.select(*dataset, row_id, label), [*dataset, row_id])
     balance = fold_balance(labelled, dataset, label)
     train = (labelled.filter(F.col("role") == "train")
-             .join(balance.select(*dataset, "fold"), [*dataset, "fold"], "left_semi")
+             .transform(lambda rows_: join_dimension(rows_, balance.select(*dataset, "fold"), [*dataset, "fold"], [row_id]))
              .withColumnRenamed("fold", "outer_fold"))
-    inner = stratified_kfold(train.drop("role"), [*dataset, "outer_fold"], row_id, label, k, seed)
+    inner = stratified_kfold(materialize(train.drop("role"), "outer-train"), [*dataset, "outer_fold"], row_id, label, k, seed)
     usable = inner.select(*dataset, F.col("outer_fold").alias("fold")).distinct()
     return {"inner": inner, "best": best_fold(balance.join(usable, [*dataset, "fold"], "left_semi"), dataset)}
 

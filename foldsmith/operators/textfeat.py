@@ -66,6 +66,8 @@ def lsa_features(rows: DataFrame, row_id: str, text: str, stop_words: Sequence[s
     worded = materialize(worded, "lsa-terms")
     fitted = worded.join(first_share(worded, row_id, fit_share), row_id, "left_semi")
     counted = CountVectorizer(inputCol="words", outputCol="tf", minDF=MIN_SHARE, maxDF=MAX_SHARE, vocabSize=vocabulary).fit(fitted)
+    if len(counted.vocabulary) == vocabulary:
+        raise ValueError(f"the texts have more than {vocabulary} terms; raise the bound or the least share of a term")
     idf = IDF(inputCol="tf", outputCol="unused").fit(counted.transform(fitted)).idf
     weigh = Pipeline(stages=[
         counted, ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="tf", outputCol="weighed"),

@@ -60,7 +60,7 @@ def doc_lookup(t):
 def doc_hits(t):
     docs = t.documents.select("doc_id", "lang", "source", "text", F.concat(F.lit("d"), "doc_id").alias("ref"))
     hits = match_rules(docs, DOC_RULES, "text", "lang").drop("text")
-    return docs, apply_lookup(hits, doc_lookup(t), "source", "lang", "ref")
+    return docs, apply_lookup(hits, doc_lookup(t), "source", "lang", "ref", "doc_id")
 
 
 HITS_SQL = f"""WITH r AS ({RULE_SQL}), hits AS (SELECT r.*, r.assay = 'plain' AND n_chars < 300 AS plus,

@@ -152,7 +152,7 @@ def group_ordinals(t):
 
 @query("e2_dense_ids", """SELECT text, row_number() OVER (ORDER BY min(doc_id)) - 1 AS cid FROM documents GROUP BY 1""")
 def dense_ids(t):
-    return E.encode_ids(t.documents, "text", "doc_id", "cid")
+    return E.encode_ids(t.documents, "text", "doc_id", "cid").drop("n")
 
 
 @query("e4_interleave", """SELECT vec_id, label, position, row_number() OVER (ORDER BY position, vec_id) - 1 AS place FROM (

@@ -42,7 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/foldsmith/{label}-{uuid.uuid4().hex}"
+    """A fresh path under this application's own folder, which can be deleted once the application has ended."""
+    return f"{shared_dir(spark).rstrip('/')}/foldsmith/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:

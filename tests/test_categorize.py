@@ -17,7 +17,7 @@ def setup(spark):
 def hits(spark):
     rows, lookup = setup(spark)
     found = G.match_rules(rows, G.RULES, "text", "std_type")
-    return G.apply_lookup(found, lookup, "target", "std_type", "assay_id")
+    return G.apply_lookup(found, lookup, "target", "std_type", "assay_id", "id")
 
 
 def test_a_row_may_meet_several_rules(spark):
