@@ -86,7 +86,7 @@ def flag_siblings(rows: DataFrame, dataset: Sequence[str], signature: str, row_i
                   out: str = "has_sibling") -> DataFrame:
     """TRUE where another row of the dataset carries the same fingerprint signature; linear, no pairs."""
     keys = [*dataset, signature]
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    counts = materialize(rows.groupBy(*keys).agg(F.count("*").alias("n")), "signature-counts")
     counted = join_group_stats(rows, counts, keys, [row_id])
     return counted.withColumn(out, F.col("n") > 1).drop("n")
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 HOT_SHARE = 1000
 HOT_ROWS = 100_000
 
@@ -16,7 +18,7 @@ def join_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], sal
                      how: str = "inner", keep: Column | None = None) -> DataFrame:
     """Attach per-group ``stats`` to ``rows`` by ``keys`` without gathering a hot group in one task.
 
-    ``stats`` has one row per group and its row count in ``size``.  A group above 1/1000 of all rows (and
+    ``stats``, a stored table since it is read three times, has one row per group and its row count in ``size``.  A group above 1/1000 of all rows (and
     ``HOT_ROWS``) is hot; there can be at most 1000 such groups, which bounds the broadcast.  Their rows are spread
     by a hash of the ``salt`` columns (a row id) over as many shares as bring each back to that size, and only
     their stats rows are repeated.  ``keep`` limits the groups joined; a hot group it rejects is spread all the same.
@@ -37,13 +39,14 @@ def join_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], sal
 def join_dimension(rows: DataFrame, dim: DataFrame, keys: Sequence[str], salt: Sequence[str], how: str = "inner") -> DataFrame:
     """:func:`join_group_stats` for a dimension (one row per key) that does not carry the sizes of its groups."""
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return join_group_stats(rows, sizes.join(dim, list(keys), how), keys, salt, size="_n", how=how).drop("_n")
+    sized = materialize(sizes.join(dim, list(keys), how), "dimension")
+    return join_group_stats(rows, sized, keys, salt, size="_n", how=how).drop("_n")
 
 
 def gate_by_size(rows: DataFrame, keys: Sequence[str], salt: Sequence[str], low: int | None = None,
                  high: int | None = None) -> DataFrame:
     """Rows of the groups with ``low <= size <= high``; an open bound is not tested."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    sizes = materialize(rows.groupBy(*keys).agg(F.count("*").alias("n")), "group-sizes")
     tests = [t for bound, t in ((low, F.col("n") >= F.lit(low)), (high, F.col("n") <= F.lit(high)))
              if bound is not None]
     return join_group_stats(rows, sizes, keys, salt, how="left_semi", keep=reduce(lambda a, b: a & b, tests, F.lit(True)))

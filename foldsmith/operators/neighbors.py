@@ -177,8 +177,7 @@ def truth_ranks(items: DataFrame, groups: DataFrame, item: str, truth: str, grou
     """
     kind, gkind = items.schema[item].dataType.simpleString(), groups.schema[group].dataType.simpleString()
     truths = groups.select(F.col(group).alias(truth), V.normalize(F.col(group_vector)).alias("_t"))
-    sized = items.groupBy(truth).agg(F.count("*").alias("n")).join(truths, truth)
-    known = join_group_stats(items, sized, [truth], [item]).select(
+    known = join_dimension(items, truths, [truth], [item]).select(
         item, vector, F.col(truth).alias("truth"), V.dot(V.normalize(F.col(vector)), F.col("_t")).alias("target"))
     known = materialize(known, "truth-scores")
 
@@ -228,7 +227,7 @@ def smote(rows: DataFrame, row_id: str, vector: str, label: str, k: int = 6, see
     walked = made.withColumns({"rank": pick.cast("int"), "gap": share})
     ends = links.select(F.col("query_id").alias("parent_id"), "neighbor_id", "rank").join(
         own.select(F.col("id").alias("neighbor_id"), F.col("vec").alias("end_vec")), "neighbor_id")
-    ends = ends.withColumn("n", F.lit(math.ceil(need / few)).cast("long"))
+    ends = materialize(ends.withColumn("n", F.lit(math.ceil(need / few)).cast("long")), "smote-ends")
     joined = join_group_stats(walked, ends, ["parent_id", "rank"], ["copy"]).drop("n")
     step = F.struct("gap", F.col("parent_vec").cast("array<double>").alias("p"), F.col("end_vec").cast("array<double>").alias("e"))
     cells = bind(step, lambda s: F.zip_with(s["p"], s["e"], lambda x, y: x + s["gap"] * (y - x)))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .joins import join_group_stats
 from .rank import group_quantiles
 
@@ -46,7 +47,7 @@ def box_summary(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     box = group_quantiles(rows, group, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    sized = box.join(counted.groupBy(*group).agg(F.count("*").alias("n")), list(group))
+    sized = materialize(box.join(counted.groupBy(*group).agg(F.count("*").alias("n")), list(group)), "boxes")
     placed = join_group_stats(counted, sized, group, [value]).drop("n")
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return placed.groupBy(*group, "q1", "median", "q3").agg(
@@ -101,7 +102,7 @@ def most_frequent(rows: DataFrame, group: Sequence[str], config: str, fold: str)
 def multi_valued(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Values of the keys measured more than once, as counted rows; the list of a key is never built."""
     counted = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    sizes = counted.groupBy(*keys).agg(F.sum("n").alias("_all"), F.count("*").alias("_rows"))
+    sizes = materialize(counted.groupBy(*keys).agg(F.sum("n").alias("_all"), F.count("*").alias("_rows")), "value-counts")
     return join_group_stats(counted, sizes, keys, [value], size="_rows", how="left_semi", keep=F.col("_all") > 1)
 
 

@@ -41,7 +41,7 @@ def stratified_folds(rows: DataFrame, dataset: Sequence[str], row_id: str, label
              .withColumn("k", F.least(F.lit(k), F.col("_min")).cast("int")).filter("k >= 2").drop("_min"))
     ranked = distributed_rank(labelled, [*dataset, label], seeded_order(seed, row_id), [F.col(row_id)])
     if dataset:
-        placed = join_group_stats(ranked, sizes, dataset, [row_id])
+        placed = join_group_stats(ranked, materialize(sizes, "fold-counts"), dataset, [row_id])
     else:
         placed = ranked.withColumn("k", sizes.select("k").scalar()).filter("k IS NOT NULL")
     return placed.select(*dataset, row_id, F.pmod("rank", "k").cast("int").alias("test_fold"), "k")
@@ -147,7 +147,7 @@ def aligned_split(parent_rows: DataFrame, child_assignments: DataFrame, pair: Se
     # a pair has a handful of folds, so the list of them is short
     folds = child_assignments.select(*cell).distinct().groupBy(*pair).agg(F.collect_list(F.struct("drop_siblings", "fold")).alias("_cells"))
     tests = child_assignments.filter(F.col("role") == "test").select(*cell, row_id, F.lit(True).alias("_in_test"))
-    listed = join_group_stats(parent_rows.select(*pair, row_id, flag), sizes.join(folds, pair), pair, [row_id])
+    listed = join_group_stats(parent_rows.select(*pair, row_id, flag), materialize(sizes.join(folds, pair), "pair-folds"), pair, [row_id])
     wide = listed.select(*pair, row_id, flag, F.explode("_cells").alias("_cell")).select(*pair, row_id, flag, "_cell.*")
     marked = wide.join(tests, [*cell, row_id], "left")
     role = (F.when(F.col("drop_siblings") & F.col(flag), None)
@@ -208,7 +208,7 @@ def interleaved_cut(rows: DataFrame, cluster: Sequence[str], row_id: str, share:
     Positions lie in [0, 1) and come out of division, so a fixed-width decimal of them sorts as they do.
     """
     cluster = list(cluster)
-    sizes = rows.groupBy(*cluster).agg(F.count("*").alias("n"))
+    sizes = materialize(rows.groupBy(*cluster).agg(F.count("*").alias("n")), "cluster-sizes")
     ranked = distributed_rank(rows, cluster, seeded_order(seed, row_id), [F.col(row_id)], out="_r")
     placed = (join_group_stats(ranked, sizes, cluster, [row_id])
               .withColumn("position", F.col("_r") / F.col("n")).drop("_r", "n"))

@@ -8,6 +8,7 @@ from ..operators.categorize import apply_lookup, categorize, level_funnel, match
 from ..operators.curate import consolidate, dataset_summary, threshold_stats
 from ..operators.joins import gate_by_size, join_group_stats
 from .entry_query import EVENTS_SQL, curated_events, measurements
+from ..session import materialize
 from .predicates import DOC_RULES, RULE_SQL
 from .registry import query
 
@@ -134,7 +135,7 @@ def summary(t):
 
 @query("d10_group_max_on_rows", """SELECT event_id, event_type, max(value) OVER (PARTITION BY event_type) AS max_value FROM events""")
 def group_max_on_rows(t):
-    stats = t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("max_value"))
+    stats = materialize(t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("max_value")), "maxima")
     return join_group_stats(t.events.select("event_id", "event_type"), stats, ["event_type"], ["event_id"]).drop("n")
 
 

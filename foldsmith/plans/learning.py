@@ -27,7 +27,7 @@ def tfidf_weights(t):
 
 @query("i22_lsa_features")
 def lsa_features(t):
-    return T.lsa_features(t.texts("text"), "doc_id", "text", STOP, n_components=8, vocabulary=1 << 15)
+    return T.lsa_features(t.texts("text"), "doc_id", "text", STOP, n_components=8)
 
 
 @query("i23_principal_components")
