@@ -62,9 +62,9 @@ def keyword_drop(t):
             .join(flagged, "doc_id", "left_anti").select("doc_id", "source"))
 
 
-@query("b6_require_reference_date", """SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer
+@query("b6_require_document_date", """SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer
     LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderdate IS NOT NULL GROUP BY 1""")
-def require_reference_date(t):
+def require_document_date(t):
     joined = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left")
     return (joined.filter(F.col("o_orderdate").isNotNull()).groupBy("c_custkey")
             .agg(F.count("o_orderkey").alias("n_orders")))
@@ -123,7 +123,7 @@ def code_labels(t):
     names = F.create_map(F.lit("MACHINERY"), F.lit("machines"), F.lit("HOUSEHOLD"), F.lit("home"))
     nations = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
     return (t.customer.join(nations, "c_nationkey", "left")
-            .select("c_custkey", "nation", F.get(F.array(names), 0)[F.col("c_mktsegment")].alias("segment")))
+            .select("c_custkey", "nation", names[F.col("c_mktsegment")].alias("segment")))
 
 
 @query("b15_dynamic_filter", """SELECT p_partkey FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#17')
