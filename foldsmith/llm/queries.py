@@ -1,3 +1,3 @@
 """Registers the queries of this subpackage."""
 
-from . import queries_archives, queries_filters, queries_mixing, queries_private  # noqa: F401
+from . import queries_archives, queries_filters, queries_mixing, queries_packing, queries_private, queries_toxicity  # noqa: F401
