@@ -123,19 +123,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 def repeat(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row as often as the mix takes it, all columns kept."""
-    id_col = options.get("id_col", "doc_id")
-    source_col = options.get("source_col", "source")
-    text_col = options.get("text_col", "text")
-    taken = mix(docs, **options)
-    # rows of equal id, source and size are interchangeable: they are numbered on both sides
-    same = [F.col(id_col), F.col(source_col), F.col("_size")]
-    number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1)))
-    left = docs.withColumn("_size", word_count(F.col(text_col))).withColumn("_n", number)
-    right = (taken.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_words"),
-                          "copies")
-             .withColumn("_m", F.row_number().over(Window.partitionBy("_id", "_source", "_words").orderBy(F.lit(1))))
-             .filter(F.col("copies") > 0))
-    on = (F.equal_null(left[id_col], right["_id"]) & F.equal_null(left[source_col], right["_source"])
-          & (left["_size"] == right["_words"]) & (left["_n"] == right["_m"]))
-    joined = left.join(right, on)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    id_col, text_col, source_col = (options.get(f"{n}_col", d) for n, d in
+                                    (("id", "doc_id"), ("text", "text"), ("source", "source")))
+
+    def key(size: Column) -> Column:  # rows that agree here are interchangeable
+        return F.to_json(F.struct(F.col(id_col).alias("i"), F.col(source_col).alias("s"), size.alias("n")))
+
+    per = materialize(mix(docs, **options).withColumn("_key", key(F.col("size"))).groupBy("_key").agg(
+        F.min("copies").alias("_least"), F.max("copies").alias("_most"), F.sum("copies").alias("_sum"),
+        F.count("*").alias("_rows")).filter("_most > 0"), "mix-copies")
+    keyed = docs.withColumn("_key", key(word_count(F.col(text_col))))
+    even = keyed.join(per.filter("_least = _most"), "_key").withColumn("_copies", F.col("_least"))
+    # the cut of a source may run through equal rows: the first of them get one more
+    number = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
+    more = F.col("_sum") - F.col("_least") * F.col("_rows")
+    uneven = keyed.join(per.filter("_least <> _most"), "_key").withColumn("_copies", F.col("_least") + (number <= more).cast("long"))
+    taken = even.select(*docs.columns, "_copies").unionByName(uneven.select(*docs.columns, "_copies")).filter("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

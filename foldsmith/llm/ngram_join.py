@@ -27,6 +27,7 @@ from .components import components
 SKETCH_BITS = 20
 SKETCH_ROWS = 64  # the sketch travels in so many pieces
 PARTS = 32  # hash classes of the suffix filter
+MOST_BROADCAST = 1_000_000  # ids of documents to compare that are sent to all executors; more are joined by shuffle
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -45,6 +46,10 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
+def set_digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -69,7 +74,7 @@ def fingerprints(docs: DataFrame, size: int, id_col: str, text_col: str) -> Data
                 grams = shingle_hashes(text, size)
                 np.add.at(sketch, (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 sizes.append(len(grams))
-                digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
+                digests.append(set_digest(grams) if len(grams) else None)
             empty = [None] * len(sizes)
             return {"id": batch.column("id"), "n": sizes, "digest": digests, "piece": empty, "counts": empty}
 
@@ -121,7 +126,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, size: int, percent: int, id_co
                 if not n:
                     continue
                 order = np.lexsort((grams, rarity[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-                out["digest"].append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
+                out["digest"].append(set_digest(grams))
                 out["n"].append(n)
                 out["grams"].append(grams[order[:prefix_length(n, percent)]].view(np.int64))
                 out["parts"].append(np.bincount((grams % np.uint64(PARTS)).astype(np.int64),
@@ -138,16 +143,18 @@ def needed(na, nb, percent: int):
     return F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of class digests those that link, compared on their full sets (digest, grams binary)."""
-    left = pairs.join(sets.select(F.col("digest").alias("a"), F.col("grams").alias("ga")), "a")
-    both = left.join(sets.select(F.col("digest").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
+def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of class digests those that link, compared on the full sets of their texts (digest, text)."""
+    left = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def make():
         def step(batch: pa.RecordBatch):
-            keep = []
-            for ga, gb in zip(batch.column("ga"), batch.column("gb")):
-                x, y = np.frombuffer(ga.as_buffer(), np.uint64), np.frombuffer(gb.as_buffer(), np.uint64)
+            keep, before, y = [], None, None
+            for ta, tb in zip(utf8(batch.column("ta")), utf8(batch.column("tb"))):
+                x = shingle_hashes(ta, size)
+                if tb != before:  # rows come sorted by b
+                    before, y = tb, shingle_hashes(tb, size)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             kept = pa.array(keep, pa.bool_())
@@ -157,23 +164,30 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both, make, "a binary, b binary")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(digest, grams) of the documents whose id is in ``wanted`` (id, digest)."""
+def texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, id_col: str,
+             text_col: str) -> DataFrame:
+    """(digest, text) of one document of every class in ``pairs``; only these texts are moved."""
+    needed_classes = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    wanted = materialize(needed_classes.join(classes, "digest").select("digest", F.col("first").alias("wanted")),
+                         "gram-wanted")
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = rows.join(wanted, F.equal_null("id", "wanted")).select("digest", "text")
 
-    def make():
+    def make():  # ids may repeat: a text must have the digest it stands for
         def step(batch: pa.RecordBatch):
-            grams = [shingle_hashes(t, size).tobytes() for t in utf8(batch.column("text"))]
-            return {"digest": [hashlib.blake2b(g, digest_size=16).digest() for g in grams], "grams": grams}
+            mine = [set_digest(shingle_hashes(t, size)) for t in utf8(batch.column("text"))]
+            same = pa.array([a == b for a, b in zip(mine, batch.column("digest").to_pylist())], pa.bool_())
+            return {n: batch.column(n).filter(same) for n in ("digest", "text")}
         return step
 
-    picked = rows.join(wanted.select("id").distinct(), "id", "left_semi").select("text")
-    return materialize(map_batches(picked, make, "digest binary, grams binary").dropDuplicates(["digest"]), "gram-sets")
+    return materialize(map_batches(picked, make, "digest binary, text string"), "gram-texts")
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row of ``docs``.
+                       text_col: str = "text", with_digest: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) of every row of ``docs``; ``with_digest`` adds the digest of its set.
 
     Two rows link when 100 times the intersection of their sets is ``percent`` times the union or more; component_id
     is the smallest id reachable by links.  A row without words has an empty set, links with nothing and is its own
@@ -194,8 +208,6 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     lists = materialize(entries.join(shared, "gram"), "gram-lists")
     hubs = materialize(lists.filter("pos = least").groupBy("gram", "least")
                        .agg(F.min("digest").alias("hub"), F.min_by("n", "digest").alias("hub_n")), "gram-hubs")
-    wanted = lists.select("digest").distinct().join(classes, "digest").select(F.col("first").alias("id"), "digest")
-    sets = full_sets(docs, wanted, size, id_col, text_col)
 
     def sized(na, nb, pa_, pb):
         least = needed(na, nb, percent)
@@ -207,7 +219,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
              .filter(sized(F.col("n"), F.col("hub_n"), F.col("pos"), F.col("least")))
              .select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct())
     tried = materialize(suffix_filter(first, cards, percent), "gram-hub-pairs")
-    links = materialize(verify(tried, sets, percent), "gram-links")
+    texts = texts_of(tried, docs, classes, size, id_col, text_col)
+    links = materialize(verify(tried, texts, size, percent), "gram-links")
     part = components(links)
     # what is left: pairs of a list that are not in one component and were not tried yet
     placed = (lists.join(part.select(F.col("node").alias("digest"), "component"), "digest", "left")
@@ -220,7 +233,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
                    & sized(F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos")))
             .select(F.col("l.digest").alias("a"), F.col("r.digest").alias("b")).distinct()
             .join(tried, ["a", "b"], "left_anti"))
-    late = verify(materialize(suffix_filter(rest, cards, percent), "gram-rest-pairs"), sets, percent)
+    rest = materialize(suffix_filter(rest, cards, percent), "gram-rest-pairs")
+    late = verify(rest, texts_of(rest, docs, classes, size, id_col, text_col), size, percent)
     whole = components(materialize(links.unionByName(late), "gram-all-links"))
     named = (classes.join(whole.withColumnRenamed("node", "digest"), "digest", "left")
              .withColumn("component", F.coalesce("component", "digest")))
@@ -229,7 +243,47 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
                         "gram-final")
     return (rows.join(final, "digest", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")))
+                    F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+                    *["digest"] * with_digest))
+
+
+def one_of_each(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of every component, that with the smallest id; of rows without words, every distinct id.
+
+    Of repeated rows one stays.  Components of rows with null ids only keep one of them.
+    """
+    found = jaccard_components(docs, size, percent, id_col, text_col, with_digest=True)
+    found = materialize(found.withColumnRenamed(id_col, "_id"), "gram-found")
+    repeated = materialize(found.groupBy("_id").agg(F.count("*").alias("c")).filter("c > 1 or _id is null").select("_id"),
+                           "gram-repeated")
+    gone = materialize(found.filter("_id <> component_id").select("_id").distinct().unionByName(repeated).distinct(),
+                       "gram-gone")
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    plain = docs.join(gone, F.equal_null(docs[id_col], gone["_id"]), "left_anti")
+    if not repeated.limit(1).count():
+        return plain
+    # rows whose id does not tell them apart are told apart by their set
+    odd = docs.join(repeated, F.equal_null(docs[id_col], repeated["_id"]), "left_semi")
+    names, kinds = odd.columns, [f.dataType.simpleString() for f in odd.schema]
+    at = names.index(text_col)
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            out = {f"c{k}": batch.column(k) for k in range(batch.num_columns)}
+            grams = [shingle_hashes(t, size) for t in utf8(batch.column(at))]
+            return out | {"mine": [set_digest(g) if len(g) else b"" for g in grams]}
+        return step
+
+    ddl = ", ".join(f"c{k} {kind}" for k, kind in enumerate(kinds)) + ", mine binary"
+    marked = map_batches(odd.toDF(*[f"c{k}" for k in range(len(names))]), make, ddl)
+    own = f"c{names.index(id_col)}"
+    groups = found.select(F.coalesce("digest", F.lit(b"")).alias("mine"), "_id", "component_id").distinct()
+    groups = groups.filter(F.equal_null("_id", "component_id")).select("mine", F.col("_id").alias("own"))
+    kept = (marked.join(groups, (marked["mine"] == groups["mine"]) & F.equal_null(marked[own], groups["own"]), "left_semi")
+            .dropDuplicates([own, "mine"]))
+    return plain.unionByName(kept.drop("mine").toDF(*names))
 
 
 def suffix_filter(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
