@@ -131,8 +131,10 @@ def train(texts: Sequence[bytes], labels: Sequence[int], seed: int = 7) -> Model
     if len({y for _, y in usable}) < 2:
         model.embeddings[:] = 0
         return model
-    texts, labels = [t for t, _ in usable], [y for _, y in usable]
-    data = Corpus(texts, labels)
+    # every fifth text is left out here, and the scale is fitted on scores the model could not learn by heart
+    checked = usable[::5] if len({y for _, y in usable[::5]}) == 2 and len(usable) >= 100 else usable
+    learned = [x for k, x in enumerate(usable) if k % 5] if checked is not usable else usable
+    data = Corpus(*zip(*learned))
     model.embeddings[~data.learned] = 0
     parameters = [model.embeddings, model.softmax, model.bias]
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
@@ -153,7 +155,7 @@ def train(texts: Sequence[bytes], labels: Sequence[int], seed: int = 7) -> Model
             p -= RATE * DECAY * p
             p -= RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
         model.embeddings[~data.learned] = 0
-    model.scale = _fit_scale(model, texts, np.asarray(labels))
+    model.scale = _fit_scale(model, [t for t, _ in checked], np.array([y for _, y in checked]))
     return model
 
 
@@ -186,11 +188,13 @@ def _fit_scale(model: Model, texts: Sequence[bytes], labels: np.ndarray) -> tupl
     x[:, 2] = np.log(x[:, 2])
     spread_x = max(1e-6, float(x[:, 0].std()))
     x[:, 0] /= spread_x
+    # the rarer class counts more, by the square root of what would make both equal
+    weight = np.sqrt(np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())))
     w = np.zeros(3)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - labels) + 1e-2 * w
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), slope)
+        slope = x.T @ (weight * (p - labels)) + 1e-2 * w
+        w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), slope)
     return float(w[0] / spread_x), float(w[1]), float(w[2])
 
 

@@ -155,11 +155,11 @@ def _by_join(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     parts = materialize(parts, "url-parts")
     lengths = table.select(F.array_sort(F.collect_set(
         F.length("rule") - F.length(F.substring_index("rule", "/", 1)))).alias("v")).scalar()  # at most a path's length
-    pairs = parts.select("host", "path").distinct()
+    pairs = parts.select("host", "path").distinct().withColumn("lengths", lengths)
     labels = F.split("host", "[.]")
     probes = (pairs.withColumn("s", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(
         F.slice(labels, k, F.size(labels)), "."))))
-        .withColumn("n", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))))
+        .withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))))
         .withColumn("rule", F.concat("s", F.substr("path", F.lit(1), F.col("n")))))
     hits = probes.withColumn("key", F.xxhash64("rule")).join(table, ["key", "rule"])
     best = hits.groupBy("host", "path").agg(F.max(F.struct(
