@@ -86,11 +86,11 @@ def catalog_members(t):
 
 @query("a8_sparse_matrix", """SELECT vec_id AS row_id, CAST(i - 1 AS INTEGER) AS col, CAST(embedding[i] AS DOUBLE) AS value
     FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
-    WHERE embedding[i] > 0.1""")
+    WHERE embedding[i] <> 0""")
 def sparse_matrix(t):
     path = scratch_path(t.spark, "sparse")
     entries = t.embeddings.select(F.col("vec_id").alias("row_id"), F.posexplode("embedding").alias("col", "value"))
-    entries.filter(F.col("value") > F.lit(0.1).cast("float")).withColumn("value", F.col("value").cast("double")) \
+    entries.filter(F.col("value") != 0).withColumn("value", F.col("value").cast("double")) \
         .write.parquet(path)
     return t.spark.read.schema("row_id bigint, col int, value double").parquet(path)
 
