@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import forget, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -38,6 +38,7 @@ def components(links: DataFrame) -> DataFrame:
         open_nodes = (new.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
                       or new.select("v").distinct().join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
                       .limit(1).count())
+        forget(stars, least, large, root)
         stars = new
         if not open_nodes:
             break

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, spread
+from ..session import forget, materialize, spread
 from .common import map_batches, utf8
 from .components import components
 
@@ -144,9 +144,9 @@ def needed(na, nb, percent: int):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of class digests those that link, compared on the full sets of their texts (digest, text)."""
-    left = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    """Of the pairs (a, b) of classes those that link, compared on the full sets of their texts (class, text)."""
+    left = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def make():
         def step(batch: pa.RecordBatch):
@@ -161,28 +161,28 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
             return {"a": batch.column("a").filter(kept), "b": batch.column("b").filter(kept)}
         return step
 
-    return map_batches(both, make, "a binary, b binary")
+    return map_batches(both, make, "a bigint, b bigint")
 
 
 def texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, id_col: str,
              text_col: str) -> DataFrame:
-    """(digest, text) of one document of every class in ``pairs``; only these texts are moved."""
-    needed_classes = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    wanted = materialize(needed_classes.join(classes, "digest").select("digest", F.col("first").alias("wanted")),
-                         "gram-wanted")
+    """(class, text) of one document of every class in ``pairs``; only these texts are moved."""
+    needed_classes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = materialize(needed_classes.join(classes, "class")
+                         .select("class", "digest", F.col("first").alias("wanted")), "gram-wanted")
     if wanted.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    picked = rows.join(wanted, F.equal_null("id", "wanted")).select("digest", "text")
+    picked = rows.join(wanted, F.equal_null("id", "wanted")).select("class", "digest", "text")
 
     def make():  # ids may repeat: a text must have the digest it stands for
         def step(batch: pa.RecordBatch):
             mine = [set_digest(shingle_hashes(t, size)) for t in utf8(batch.column("text"))]
             same = pa.array([a == b for a, b in zip(mine, batch.column("digest").to_pylist())], pa.bool_())
-            return {n: batch.column(n).filter(same) for n in ("digest", "text")}
+            return {n: batch.column(n).filter(same) for n in ("class", "text")}
         return step
 
-    return materialize(map_batches(picked, make, "digest binary, text string"), "gram-texts")
+    return materialize(map_batches(picked, make, "class bigint, text string"), "gram-texts")
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id",
@@ -193,51 +193,59 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     is the smallest id reachable by links.  A row without words has an empty set, links with nothing and is its own
     component.  Rows with a null id link like others but lend no id; a component of such rows only has a null
     component_id.  Repeated rows are returned as often as they occur.  An empty table gives an empty result.
+
+    Inside, a class of equal sets goes by a number, given where its prefix is stored; lists, pairs and links then
+    carry eight bytes a class instead of its digest.
     """
     seen = fingerprints(docs, size, id_col, text_col)
     rows = seen.filter(F.col("piece").isNull()).select("id", "n", "digest")
-    classes = materialize(rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("first")),
-                          "gram-classes")
     sketch = read_sketch(seen)
     # one row per class; copies have equal rows, so any of them will do
     every = prefixes(docs, sketch, size, percent, id_col, text_col)
-    cards = materialize(every.dropDuplicates(["digest"]), "gram-prefixes")
-    entries = cards.select("digest", "n", F.posexplode("grams").alias("pos", "gram"))
+    cards = materialize(every.dropDuplicates(["digest"]).withColumn("class", F.monotonically_increasing_id()),
+                        "gram-prefixes")
+    firsts = rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("first"))
+    classes = materialize(firsts.join(cards.select("digest", "class"), "digest"), "gram-classes")
+    entries = cards.select("class", F.col("n").cast("int").alias("n"), F.posexplode("grams").alias("pos", "gram"))
     shared = materialize(entries.groupBy("gram").agg(F.count("*").alias("c"), F.min("pos").alias("least"))
                          .filter("c > 1").select("gram", "least"), "gram-shared")
     lists = materialize(entries.join(shared, "gram"), "gram-lists")
-    hubs = materialize(lists.filter("pos = least").groupBy("gram", "least")
-                       .agg(F.min("digest").alias("hub"), F.min_by("n", "digest").alias("hub_n")), "gram-hubs")
+    forget(shared)
+    hubs = materialize(lists.filter("pos = least").groupBy("gram")
+                       .agg(F.min("class").alias("hub"), F.min_by("n", "class").alias("hub_n")), "gram-hubs")
 
     def sized(na, nb, pa_, pb):
         least = needed(na, nb, percent)
         return ((F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb))
                 & (F.least(na - pa_, nb - pb) >= least))
 
-    first = (lists.join(hubs.drop("least"), "gram").filter(F.col("digest") != F.col("hub"))
-             .join(shared, ["gram", "least"])
+    first = (lists.join(hubs, "gram").filter(F.col("class") != F.col("hub"))
              .filter(sized(F.col("n"), F.col("hub_n"), F.col("pos"), F.col("least")))
-             .select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct())
+             .select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct())
     tried = materialize(suffix_filter(first, cards, percent), "gram-hub-pairs")
+    forget(hubs)
     texts = texts_of(tried, docs, classes, size, id_col, text_col)
     links = materialize(verify(tried, texts, size, percent), "gram-links")
+    forget(texts)
     part = components(links)
     # what is left: pairs of a list that are not in one component and were not tried yet
-    placed = (lists.join(part.select(F.col("node").alias("digest"), "component"), "digest", "left")
-              .select("gram", "digest", "n", "pos", F.coalesce("component", "digest").alias("component")))
+    placed = (lists.select("gram", "class", "n", "pos").join(part.withColumnRenamed("node", "class"), "class", "left")
+              .withColumn("component", F.coalesce("component", "class")))
     mixed = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     open_lists = materialize(placed.join(mixed.select("gram"), "gram"), "gram-open")
+    forget(lists)
     l, r = open_lists.alias("l"), open_lists.alias("r")
-    rest = (l.join(r, (F.col("l.gram") == F.col("r.gram")) & (F.col("l.digest") < F.col("r.digest"))
+    rest = (l.join(r, (F.col("l.gram") == F.col("r.gram")) & (F.col("l.class") < F.col("r.class"))
                    & (F.col("l.component") != F.col("r.component"))
                    & sized(F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos")))
-            .select(F.col("l.digest").alias("a"), F.col("r.digest").alias("b")).distinct()
+            .select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
             .join(tried, ["a", "b"], "left_anti"))
     rest = materialize(suffix_filter(rest, cards, percent), "gram-rest-pairs")
+    forget(open_lists, tried, cards)
     late = verify(rest, texts_of(rest, docs, classes, size, id_col, text_col), size, percent)
     whole = components(materialize(links.unionByName(late), "gram-all-links"))
-    named = (classes.join(whole.withColumnRenamed("node", "digest"), "digest", "left")
-             .withColumn("component", F.coalesce("component", "digest")))
+    named = (classes.join(whole.withColumnRenamed("node", "class"), "class", "left")
+             .withColumn("component", F.coalesce("component", "class")))
     least = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "gram-least")
     final = materialize(named.select("digest", "component").join(least, "component").select("digest", "component_id"),
                         "gram-final")
@@ -288,8 +296,8 @@ def one_of_each(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str =
 
 def suffix_filter(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
     """Drop pairs whose sets differ too much in size within the hash classes: their difference is at least the sum."""
-    one = cards.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("parts").alias("xa"))
-    two = cards.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("xb"))
+    one = cards.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("parts").alias("xa"))
+    two = cards.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("xb"))
     apart = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     both = pairs.join(one, "a").join(two, "b")
     return both.filter(F.col("na") + F.col("nb") - 2 * needed(F.col("na"), F.col("nb"), percent) >= apart).select("a", "b")
