@@ -17,6 +17,11 @@ SETS_SQL = f"""g AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w
     reps AS (SELECT min(doc_id) AS doc_id, any_value(size) AS size FROM sig GROUP BY sig)"""
 
 
+def with_copies(found):
+    """Edges between representatives, and the link of every copy to its own."""
+    return found["edges"].unionByName(S.copy_links(found["members"])).withColumn("sim", F.round("sim", 6))
+
+
 def document_sets(t):
     return t.texts("text")
 
@@ -28,9 +33,10 @@ def document_edges(t, min_sim: float = 0.35):
 @query("c10_similarity_join", f"""WITH {SETS_SQL}, gr AS (SELECT doc_id, tok FROM g SEMI JOIN reps USING (doc_id)),
     o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM gr x JOIN gr y ON x.tok = y.tok AND x.doc_id < y.doc_id GROUP BY 1, 2)
     SELECT a, b, round(n / (ra.size + rb.size - n), 6) AS sim FROM o JOIN reps ra ON ra.doc_id = a JOIN reps rb ON rb.doc_id = b
-    WHERE n / (ra.size + rb.size - n) >= 0.35""")
+    WHERE n / (ra.size + rb.size - n) >= 0.35 UNION ALL
+    SELECT a, b, CAST(1 AS DOUBLE) FROM (SELECT min(doc_id) OVER (PARTITION BY sig) AS a, doc_id AS b FROM sig) WHERE a <> b""")
 def similarity_join(t):
-    return document_edges(t)["edges"].withColumn("sim", F.round("sim", 6))
+    return with_copies(document_edges(t))
 
 
 def urls(t):
@@ -43,12 +49,13 @@ def urls(t):
 
 
 def jaccard_sql(expr: str, bound: float) -> str:
-    """Pairs of distinct trigram sets of ``expr`` over the pages, lowest page id standing for equal sets."""
+    """Pairs of distinct trigram sets of ``expr`` over the pages, lowest page id standing for equal sets, which it is paired with."""
     return f"""(WITH t AS (SELECT page_id, list_sort(list_distinct(list_transform(range(1, greatest(length(u) - 2, 1) + 1),
         lambda i: substr(u, i, 3)))) AS s FROM (SELECT page_id, {expr} AS u FROM pages)), r AS (SELECT min(page_id) AS id, s FROM t GROUP BY s)
       SELECT x.id AS a, y.id AS b, len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) AS sim
       FROM r x JOIN r y ON x.id < y.id
-      WHERE len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) >= {bound})"""
+      WHERE len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) >= {bound}
+      UNION ALL SELECT r.id, t.page_id, CAST(1 AS DOUBLE) FROM t JOIN r ON t.s = r.s WHERE t.page_id <> r.id)"""
 
 
 TEMPLATE = "regexp_replace(lower(url), '[0-9]+', '0', 'g')"
@@ -56,27 +63,28 @@ TEMPLATE = "regexp_replace(lower(url), '[0-9]+', '0', 'g')"
 
 @query("c11_template_similarity", f"SELECT a, b, round(sim, 6) AS sim FROM {jaccard_sql(TEMPLATE, 0.6)}")
 def template_similarity(t):
-    return S.similarity_join(urls(t), "page_id", F.col("shape"), 0.6)["edges"].withColumn("sim", F.round("sim", 6))
+    return with_copies(S.similarity_join(urls(t), "page_id", F.col("shape"), 0.6))
 
 
 EDIT_SQL = """(WITH r AS (SELECT min({id}) AS id, {text} AS s FROM {table} GROUP BY {text})
     SELECT x.id AS a, y.id AS b, 1 - levenshtein(x.s, y.s) / greatest(length(x.s), length(y.s)) AS sim FROM r x JOIN r y ON x.id < y.id
     AND abs(length(x.s) - length(y.s)) <= (1 - {bound}) * greatest(length(x.s), length(y.s)) + 1e-9
-    WHERE levenshtein(x.s, y.s) <= floor((1 - {bound}) * greatest(length(x.s), length(y.s)) + 1e-9))"""
+    WHERE levenshtein(x.s, y.s) <= floor((1 - {bound}) * greatest(length(x.s), length(y.s)) + 1e-9)
+    UNION ALL SELECT r.id, t.{id}, CAST(1 AS DOUBLE) FROM {table} t JOIN r ON t.{text} = r.s WHERE t.{id} <> r.id)"""
 
 
 @query("c12_edit_distance_join", "SELECT a, b, round(sim, 6) AS sim FROM " + EDIT_SQL.format(id="c_custkey", text="c_name", table="customer", bound=0.9))
 def edit_distance_join(t):
-    return S.edit_similar_pairs(t.customer, "c_custkey", "c_name", 0.9).withColumn("sim", F.round("sim", 6))
+    return with_copies(S.edit_similarity_join(t.customer, "c_custkey", "c_name", 0.9))
 
 
 @query("c13_similar_by_any", f"""SELECT a, b FROM {jaccard_sql('url', 0.8)} UNION SELECT a, b FROM {jaccard_sql(TEMPLATE, 0.8)}
     UNION SELECT a, b FROM {EDIT_SQL.format(id='page_id', text='url', table='pages', bound=0.8)}""")
 def similar_by_any(t):
     pages = urls(t)
-    return S.similar_by_any(S.similarity_join(pages, "page_id", F.col("grams"), 0.8)["edges"],
-                            S.similarity_join(pages, "page_id", F.col("shape"), 0.8)["edges"],
-                            S.edit_similar_pairs(pages, "page_id", "url", 0.8))
+    return S.similar_by_any(with_copies(S.similarity_join(pages, "page_id", F.col("grams"), 0.8)),
+                            with_copies(S.similarity_join(pages, "page_id", F.col("shape"), 0.8)),
+                            with_copies(S.edit_similarity_join(pages, "page_id", "url", 0.8)))
 
 
 @query("c14_equivalence_siblings", f"""SELECT doc_id, lang, count(*) OVER (PARTITION BY lang, sig) > 1 AS has_sibling FROM (
