@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -15,7 +15,7 @@ from .rank import rank_by_value
 def encode_ids(rows: DataFrame, column: str, order: str, out: str) -> DataFrame:
     """Dictionary (column, out, n): 0, 1, 2 ... by first appearance in ``order`` (a unique number), and row counts."""
     firsts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"), F.count("*").alias("n"))
-    return rank_by_value(firsts, [], "_first", out=out).select(column, out, "n")
+    return rank_by_value(materialize(firsts, "first-rows"), [], "_first", out=out).select(column, out, "n")
 
 
 def to_triplets(rows: DataFrame, item: str, group: str, label: str, value: str, split: str, order: str,
@@ -41,5 +41,8 @@ def gather_features(triplets: DataFrame, items: DataFrame, groups: DataFrame, it
 
 
 def number_groups(groups: DataFrame, owner: str, first: str, out: str) -> DataFrame:
-    """Ordinal of each group within its owner by the group's first id.  Runs over groups, never over rows."""
-    return groups.withColumn(out, F.dense_rank().over(Window.partitionBy(owner).orderBy(first)).cast("long"))
+    """Ordinal of each group within its owner by the group's first id, from 1.  An owner may have any number of groups."""
+    groups = materialize(groups, "numbered-groups")
+    firsts = materialize(groups.groupBy(owner, first).agg(F.count("*").alias("n")), "first-ids")
+    ranked = rank_by_value(firsts, [owner], first, out=out).withColumn(out, F.col(out) + 1).drop("n")
+    return join_dimension(groups, ranked, [owner, first], [first])

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as X
+from ..session import materialize
+from .rank import rank_by_value
 
 
 def fetch_activities(activities: DataFrame, assays: DataFrame, assay_key: str, targets: DataFrame, target_key: str,
@@ -48,6 +50,6 @@ def datasets_by_condition(rows: DataFrame, target: str, fields: Sequence[str], a
     hashed = hash_conditions(rows, fields)
     groups = hashed.groupBy(target, "condition").agg(
         F.count("*").alias("n_rows"), F.countDistinct(assay).alias("n_assays"), F.min(order).alias("first_id"))
-    in_order = Window.partitionBy(target).orderBy("first_id", "condition")
-    return (groups.filter(F.col("n_rows") >= min_size)
-            .withColumn("ordinal", F.row_number().over(in_order).cast("long")))
+    kept = materialize(groups.filter(F.col("n_rows") >= min_size), "condition-groups")
+    ranked = rank_by_value(kept, [target], "first_id", [F.col("condition")], out="ordinal")
+    return ranked.withColumn("ordinal", F.col("ordinal") + 1)

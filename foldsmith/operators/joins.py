@@ -22,12 +22,16 @@ def join_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], sal
     ``HOT_ROWS``) is hot; there can be at most 1000 such groups, which bounds the broadcast.  Their rows are spread
     by a hash of the ``salt`` columns (a row id) over as many shares as bring each back to that size, and only
     their stats rows are repeated.  ``keep`` limits the groups joined; a hot group it rejects is spread all the same.
+    Rows with a missing key are spread too.
     """
     keys = list(keys)
     share = F.greatest(stats.agg(F.sum(size)).scalar() / F.lit(HOT_SHARE), F.lit(HOT_ROWS))
     flagged = stats.withColumn("_shares", F.ceil(F.col(size) / share).cast("int"))
     hot = flagged.filter("_shares > 1").select(*keys, "_shares")
-    spread = F.when(F.col("_shares") > 1, F.pmod(F.xxhash64(*salt), F.col("_shares")).cast("int")).otherwise(0)
+    # a key that is missing matches nothing, so its rows may go anywhere
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], F.lit(False))
+    shares = F.when(missing, F.lit(HOT_SHARE)).otherwise(F.coalesce("_shares", F.lit(1)))
+    spread = F.pmod(F.xxhash64(*salt), shares).cast("int")
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).drop("_shares")
     kept = flagged if keep is None else flagged.filter(keep)
     right = kept.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest("_shares", F.lit(1)) - 1))).drop("_shares")

@@ -49,9 +49,19 @@ def distributed_rank(df: DataFrame, part: Sequence[str], key: Column, tie: Seque
 
 
 def rank_by_value(df: DataFrame, part: Sequence[str], value: str, tie: Sequence[Column] = (), out: str = "rank",
-                  buckets: int = 1024) -> DataFrame:
-    """0-based rank within ``part`` by a numeric column whose values hardly repeat, bucketed by its quantiles."""
-    return _rank_in_buckets(with_value_bucket(df, value, buckets), list(part), [F.col(value), *tie], out)
+                  buckets: int = 1024, repeats: str | None = None) -> DataFrame:
+    """0-based rank within ``part`` by a numeric column, then ``tie``, bucketed by the column's quantiles.
+
+    Where many rows may share a value, ``repeats`` names the numeric column that orders them (the only ``tie``): rows of
+    a crowded value are cut by its quantiles too.  Give it a stored table, which is read several times.
+    """
+    cut = with_value_bucket(df, value, buckets)
+    if repeats is not None:
+        cut = with_value_bucket(cut, repeats, buckets, out="_second")
+        # a crowded value is the upper edge of its bucket, so its rows come after the bucket's others
+        within = F.when(F.col("_crowded"), F.lit(1 << 31) + F.col("_second")).otherwise(F.lit(0))
+        cut = cut.withColumn("_bucket", F.col("_bucket") * F.lit(1 << 32) + within).drop("_second", "_second_crowded")
+    return _rank_in_buckets(cut.drop("_crowded"), list(part), [F.col(value), *tie], out)
 
 
 def _rank_in_buckets(cut: DataFrame, part: list[str], order: Sequence[Column], out: str) -> DataFrame:
@@ -66,26 +76,38 @@ def _rank_in_buckets(cut: DataFrame, part: list[str], order: Sequence[Column], o
 
 
 def with_value_bucket(df: DataFrame, value: str, buckets: int = 256, out: str = "_bucket") -> DataFrame:
-    """Adds the index of the approximate quantile cut ``value`` falls in: monotone, and no cut range is crowded.
+    """Adds the index of the approximate quantile cut ``value`` falls in, and ``_crowded``: the value fills cuts alone.
 
-    The cuts are one sketch row computed inside the plan; each lookup is a binary search over them.
+    The index is monotone in the value.  The cuts are one sketch row computed inside the plan; each lookup is a binary
+    search over them.  Where ``buckets`` of them would hold more than ``ROWS_PER_BUCKET`` rows each, every cut range is
+    divided evenly into as many more as that takes, so the number of buckets follows the data.
     """
-    probs = ", ".join(f"{(i + 1) / buckets}D" for i in range(buckets - 1))
-    cuts = df.agg(F.expr(f"percentile_approx(`{value}`, array({probs}), {10 * buckets})").alias("c")).scalar()
+    probs = ", ".join(f"{i / buckets}D" for i in range(buckets + 1))
+    sketch = df.agg(F.struct(F.expr(f"percentile_approx(`{value}`, array({probs}), {10 * buckets})").alias("edges"),
+                             F.ceil(F.count(value) / F.lit(float(buckets * ROWS_PER_BUCKET))).alias("parts")).alias("s")).scalar()
     steps, step = [], buckets // 2
     while step:
         steps.append(str(step))
         step //= 2
+    edge = lambda i: F.get("_sketch.edges", i)
     found = F.aggregate(F.expr(f"array({', '.join(steps)})"), F.lit(0),
-                        lambda at, s: F.when(F.col(value) > F.get("_cuts", at + s - 1), at + s).otherwise(at))
-    return df.withColumn("_cuts", cuts).withColumn(out, found).drop("_cuts")
+                        lambda at, s: F.when(F.col(value) > edge(at + s), at + s).otherwise(at))
+    low, high = edge(F.col("_at")).cast("double"), edge(F.col("_at") + 1).cast("double")
+    parts = F.greatest(F.col("_sketch.parts"), F.lit(1))
+    share = (F.col(value).cast("double") - low) / F.nullif(high - low, F.lit(0.0))
+    # values that sort last, and ranges without a width, stay in the last part
+    part = F.floor(F.least(F.greatest(F.coalesce(share * parts, parts - F.lit(1.0)), F.lit(0.0)), parts - F.lit(1.0)))
+    crowded = (F.col(value) == edge(F.col("_at") + 1)) & (edge(F.col("_at") + 1) == edge(F.col("_at") + 2))
+    flag = "_crowded" if out == "_bucket" else f"{out}_crowded"
+    return (df.withColumn("_sketch", sketch).withColumn("_at", found)
+            .withColumns({out: F.col("_at") * parts + part, flag: F.coalesce(crowded, F.lit(False))}).drop("_sketch", "_at"))
 
 
 def group_cumsum(df: DataFrame, part: Sequence[str], value: str, sums: Sequence[str], descending: bool = False,
                  buckets: int = 256) -> DataFrame:
     """For rows unique on ``(part, value)``: ``before_<col>``, the sum over earlier values, and ``total_<col>``."""
     part, sums = list(part), list(sums)
-    cut = with_value_bucket(df, value, buckets)
+    cut = with_value_bucket(df, value, buckets).drop("_crowded")
     per = cut.groupBy(*part, "_bucket").agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     offsets = _prefix_sum(per, part, [way("_bucket")], [f"_s_{s}" for s in sums], [f"_o_{s}" for s in sums])
@@ -109,7 +131,7 @@ def group_quantiles(df: DataFrame, part: Sequence[str], value: str, probs: dict[
     """
     part = list(part)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count("*").alias("_n"))
-    cut = with_value_bucket(counted, value, buckets)
+    cut = with_value_bucket(counted, value, buckets).drop("_crowded")
     per = cut.groupBy(*part, "_bucket").agg(F.sum("_n").alias("_bn"))
     placed = _prefix_sum(per, part, [F.col("_bucket")], ["_bn"], ["_off"])
     totals = per.groupBy(*part).agg(F.sum("_bn").alias("_total"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .joins import join_dimension, join_group_stats
-from .rank import distributed_rank, seeded_order
+from .rank import distributed_rank, rank_by_value, seeded_order
 
 # fixed values: which levels a level is aligned with, and the key parts that must agree
 ALIGNMENT = {"hhd": ("mhd", "lhd"), "mhd-effect": ("mhd", "lhd"), "mhd": ("lhd",)}
@@ -205,14 +205,14 @@ def schemes_available(assignments: DataFrame, dataset: Sequence[str], schemes: S
 def interleaved_cut(rows: DataFrame, cluster: Sequence[str], row_id: str, share: float, seed: int = 42) -> DataFrame:
     """First ``share`` of the rows when clusters are drawn from evenly, by each member's position in its cluster.
 
-    Positions lie in [0, 1) and come out of division, so a fixed-width decimal of them sorts as they do.
+    Positions lie in [0, 1) and repeat: every cluster's first member has position 0.  ``row_id``, a number, orders those.
     """
     cluster = list(cluster)
     sizes = materialize(rows.groupBy(*cluster).agg(F.count("*").alias("n")), "cluster-sizes")
     ranked = distributed_rank(rows, cluster, seeded_order(seed, row_id), [F.col(row_id)], out="_r")
     placed = (join_group_stats(ranked, sizes, cluster, [row_id])
               .withColumn("position", F.col("_r") / F.col("n")).drop("_r", "n"))
-    key = F.format_string("%.17f", "position")
-    ordered = distributed_rank(placed, [], F.substring(key, 3, 17), [F.col("position"), F.col(row_id)], out="place")
-    total = rows.agg(F.count("*")).scalar()
+    placed = materialize(placed, "positions")
+    ordered = rank_by_value(placed, [], "position", [F.col(row_id)], out="place", repeats=row_id)
+    total = sizes.agg(F.sum("n")).scalar()
     return ordered.withColumn("_n", total).filter(F.col("place") < F.col("_n") * share).drop("_n")

@@ -8,13 +8,13 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, CountVectorizer, ElementwiseProduct, IDF, Normalizer, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-from pyspark.mllib.linalg import Vectors as OldVectors
+from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .joins import join_group_stats
+from .joins import join_dimension, join_group_stats
 from .rank import rank_by_value
 
 # fixed values: accented Latin letters and their plain forms
@@ -57,31 +57,29 @@ def tfidf_weights(rows: DataFrame, row_id: str, text: str, stop_words: Sequence[
 
 
 def lsa_features(rows: DataFrame, row_id: str, text: str, stop_words: Sequence[str], n_components: int = 355,
-                 fit_share: float = 0.8, vocabulary: int = 1 << 18) -> DataFrame:
+                 fit_share: float = 0.8) -> DataFrame:
     """(row_id, features): TF-IDF projected on the leading right singular vectors of the fitted share.
 
-    ``vocabulary`` bounds what the driver holds: the projection has that many rows and ``n_components`` columns.
+    The driver holds the singular vectors, a row a term.  Each term kept is in at least ``MIN_SHARE`` of the fitted rows,
+    so there are at most 10,000 times the mean distinct terms of a row of them, however many rows there are.
     """
-    worded = rows.select(row_id, terms(F.col(text), stop_words).alias("words"))
-    worded = materialize(worded, "lsa-terms")
-    fitted = worded.join(first_share(worded, row_id, fit_share), row_id, "left_semi")
-    counted = CountVectorizer(inputCol="words", outputCol="tf", minDF=MIN_SHARE, maxDF=MAX_SHARE, vocabSize=vocabulary).fit(fitted)
-    if len(counted.vocabulary) == vocabulary:
-        raise ValueError(f"the texts have more than {vocabulary} terms; raise the bound or the least share of a term")
+    worded = materialize(rows.select(row_id, terms(F.col(text), stop_words).alias("words")), "lsa-terms")
+    fitted = materialize(worded.join(first_share(worded, row_id, fit_share), row_id, "left_semi"), "lsa-fitted")
+    counted = CountVectorizer(inputCol="words", outputCol="tf", minDF=MIN_SHARE, maxDF=MAX_SHARE, vocabSize=(1 << 31) - 1).fit(fitted)
     idf = IDF(inputCol="tf", outputCol="unused").fit(counted.transform(fitted)).idf
     weigh = Pipeline(stages=[
         counted, ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="tf", outputCol="weighed"),
-        Normalizer(inputCol="weighed", outputCol="tfidf"), SQLTransformer(statement=f"SELECT `{row_id}`, tfidf FROM __THIS__")])
-    model = weigh.fit(worded)
-
-    def matrix(df: DataFrame) -> IndexedRowMatrix:
-        return IndexedRowMatrix(model.transform(df).rdd.map(lambda r: IndexedRow(r[0], OldVectors.fromML(r[1]))))
-
+        Normalizer(inputCol="weighed", outputCol="vector"), SQLTransformer(statement=f"SELECT `{row_id}` AS index, vector FROM __THIS__")])
+    weighed = weigh.fit(worded).transform(fitted).withColumn("index", F.col("index").cast("long"))
     k = min(n_components, len(counted.vocabulary) - 1)
-    axes = matrix(fitted).computeSVD(k, computeU=False).V
-    projected = matrix(worded).multiply(axes)
-    out = projected.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()]))
-    return rows.sparkSession.createDataFrame(out, f"`{row_id}` bigint, features array<double>")
+    axes = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(weighed, "vector")).computeSVD(k, computeU=False).V.toArray()
+    by_term = rows.sparkSession.createDataFrame(
+        ((t, v.tolist()) for t, v in zip(counted.vocabulary, axes)), "term string, axis array<double>")
+    weights = tfidf_weights(rows, row_id, text, stop_words, fit_share)
+    summed = join_dimension(materialize(weights, "lsa-weights"), by_term, ["term"], [row_id]).groupBy(row_id).agg(
+        F.array(*[F.sum(F.col("weight") * F.col("axis")[i]) for i in range(k)]).alias("features"))
+    nothing = F.array_repeat(F.lit(0.0), k)
+    return worded.select(row_id).join(summed, row_id, "left").select(row_id, F.coalesce("features", nothing).alias("features"))
 
 
 def pca(rows: DataFrame, row_id: str, vector: str, k: int = 2) -> DataFrame:

@@ -55,3 +55,16 @@ def test_cumulative_sums_both_ways(spark):
             mine = [d for d in data if d[0] == r["g"]]
             before = sum(d[2] for d in mine if (d[1] > r["v"] if down else d[1] < r["v"]))
             assert (r["before_n"], r["total_n"]) == (before, sum(d[2] for d in mine))
+
+
+def test_crowded_values_and_many_buckets_keep_the_order(spark, small_blocks):
+    # half of the rows share the lowest value, a fifth the highest; two rows a bucket cut the sketch's ranges further
+    values = [0.0] * 50 + [i / 31 for i in range(30)] + [1.0] * 20
+    rows = [((i * 37) % 100, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    out = K.rank_by_value(df, [], "v", [F.col("id")], buckets=8, repeats="id").collect()
+    want = {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert {r["id"]: r["rank"] for r in out} == want
+    cut = K.with_value_bucket(df, "v", 8)
+    assert cut.filter("_crowded").select("v").distinct().collect()[0]["v"] == 0.0
+    assert cut.select("_bucket").distinct().count() > 8
