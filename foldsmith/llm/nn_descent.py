@@ -1,13 +1,16 @@
 """Embedding near-duplicates by NN-descent.
 
 The neighbour graph starts from a few random orders (sign codes of hyperplanes): each order is cut into small windows
-of consecutive vectors that are compared as matrices, and every vector keeps its ``k`` best.  Then neighbours of
-neighbours are joined, round after round, until they bring no new link.  A join skips pairs that links connect already:
-lists of vectors in a dense group are saturated, whatever ``k``, so instead of growing ``k`` step by step a saturated
-list is enlarged at once to its whole component, block against block, where links are counted and never written out.
+of consecutive vectors that are compared as matrices.  A window gives a spanning forest of its links, so no two parts
+of it that a link connects stay apart, and every vector keeps its ``k`` best and its ``k`` best of other components.
+Then neighbours of neighbours are joined, round after round, until they bring no new link.  A join skips pairs that
+links connect already: lists of vectors in a dense group are saturated, whatever ``k``, so instead of growing ``k`` step
+by step a saturated list is enlarged at once to its whole component, block against block, where links are counted and
+never written out, and its ``k`` entries of other components lead out of the group.
 
 Recall is audited against brute force for a bounded number of vectors over all others; more orders are added until it
-is reached.  Equal vectors of a label are folded into one node beforehand.
+is reached, and a recall still missed after the last order is an error.  Equal vectors of a label are folded into one
+node beforehand.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ NEIGHBOURS = 8
 ORDERS = 6
 WINDOW = 256
 BLOCK = 400
-ROUNDS = 4
 EXPLORE = 0.9  # neighbours at least this near are kept in the lists: a link's ends share them
 AUDITED = 256
 RECALL = 0.98
@@ -70,8 +72,36 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def window_links(nodes: DataFrame, order: int, bits: int, k: int) -> DataFrame:
-    """(a, b, sim): each vector's ``k`` best of at least ``EXPLORE`` among those near it in one random order."""
+def forest(linked: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The component of every row of a symmetric matrix of links, and links that span each component."""
+    part, spanning = np.full(len(linked), -1), []
+    for root in range(len(linked)):
+        if part[root] >= 0:
+            continue
+        part[root], todo = root, [root]
+        for i in todo:  # grows while it is read
+            reached = np.flatnonzero(linked[i] & (part < 0)).tolist()
+            part[reached] = root
+            todo += reached
+            spanning += [(i, j) for j in reached]
+    return part, spanning
+
+
+def nearest(sims: np.ndarray, threshold: float, k: int) -> set[tuple[int, int]]:
+    """Pairs of at least ``EXPLORE``: each row's ``k`` best, its ``k`` best of other components and a spanning forest."""
+    part, spanning = forest(sims >= threshold)
+    rows = np.flatnonzero(sims.max(axis=1) >= EXPLORE)
+    ranked = np.argsort(-sims[rows], axis=1, kind="stable")
+    near = np.take_along_axis(sims[rows], ranked, axis=1) >= EXPLORE
+    foreign = near & (part[ranked] != part[rows][:, None])
+    kept = near & (np.arange(len(sims)) < k) | foreign & (foreign.cumsum(axis=1) <= k)
+    i, place = np.nonzero(kept)
+    pairs = set(zip(rows[i].tolist(), ranked[i, place].tolist()))
+    return pairs.union(spanning, ((j, i) for i, j in spanning))
+
+
+def window_links(nodes: DataFrame, order: int, bits: int, k: int, threshold: float) -> DataFrame:
+    """(a, b, sim): what :func:`nearest` gives among the vectors near each other in one random order."""
     def coded():
         planes: dict[int, np.ndarray] = {}
 
@@ -115,12 +145,10 @@ def window_links(nodes: DataFrame, order: int, bits: int, k: int) -> DataFrame:
                     m = matrix(rows["vec"].combine_chunks().take(pa.array(at)))
                     sims = cosines(m, m)
                     np.fill_diagonal(sims, -1)
-                    for i in np.flatnonzero(sims.max(axis=1) >= EXPLORE):
-                        for j in np.argsort(-sims[i], kind="stable")[:k]:
-                            if sims[i, j] >= EXPLORE:
-                                out["a"].append(names[at[i]])
-                                out["b"].append(names[at[j]])
-                                out["sim"].append(float(sims[i, j]))
+                    for i, j in nearest(sims, threshold, k):
+                        out["a"].append(names[at[i]])
+                        out["b"].append(names[at[j]])
+                        out["sim"].append(float(sims[i, j]))
             held[:] = [] if batch is None else rows.slice(last - WINDOW // 2).to_batches()
             return out
 
@@ -129,18 +157,23 @@ def window_links(nodes: DataFrame, order: int, bits: int, k: int) -> DataFrame:
     return map_batches(ordered, make, "a binary, b binary, sim double", last=True)
 
 
-def best(links: DataFrame, k: int) -> DataFrame:
-    """The neighbour lists: at most ``k`` of each vector, the nearest first."""
-    rank = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
-    return (links.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(rank))
-            .filter(F.col("r") <= k).drop("r"))
+def best(links: DataFrame, part: DataFrame, k: int) -> DataFrame:
+    """(a, b, sim, foreign): the neighbour lists, at most ``k`` of each vector's component and ``k`` of others."""
+    ends = links.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    for end in ("a", "b"):
+        ends = (ends.join(part.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+                .withColumn(f"of_{end}", F.coalesce(f"of_{end}", end)))
+    ends = ends.select("a", "b", "sim", (F.col("of_a") != F.col("of_b")).alias("foreign"))
+    rank = Window.partitionBy("a", "foreign").orderBy(F.col("sim").desc(), "b")
+    return ends.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= k).drop("r")
 
 
-def join_neighbours(lists: DataFrame, nodes: DataFrame, part: DataFrame, k: int) -> DataFrame:
+def join_neighbours(lists: DataFrame, nodes: DataFrame, part: DataFrame, k: int, turn: int) -> DataFrame:
     """(a, b, sim) of neighbours of neighbours that no links connect yet, where at least ``EXPLORE``."""
-    back = lists.select(F.col("b").alias("host"), F.col("a").alias("member"))
-    some = Window.partitionBy("host").orderBy(F.xxhash64("member"))  # a hub is met through k of its vectors a round
-    back = back.withColumn("r", F.row_number().over(some)).filter(F.col("r") <= k).drop("r")
+    back = lists.select(F.col("b").alias("host"), F.col("a").alias("member"), "foreign")
+    # a hub is met through k vectors of its component and k of others, which differ from round to round
+    some = Window.partitionBy("host", "foreign").orderBy(F.xxhash64("member", F.lit(turn)), "member")
+    back = back.withColumn("r", F.row_number().over(some)).filter(F.col("r") <= k).select("host", "member")
     around = (lists.select(F.col("a").alias("host"), F.col("b").alias("member")).unionByName(back)
               .unionByName(lists.select(F.col("a").alias("host"), F.col("a").alias("member"))).distinct()
               .join(part.select(F.col("node").alias("member"), "component"), "member", "left")
@@ -285,30 +318,28 @@ def near_components(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
                         .agg(F.count("*").alias("copies"), F.min("id").alias("first")), "nn-nodes")
     size, groups = nodes.agg(F.count("*"), F.countDistinct("label")).first()
     bits = max(0, min(40, math.ceil(math.log2(max(1, size / (128 * max(1, groups)))))))
-    lists, done, orders = None, 0, ORDERS
+    links, done, orders, turn = None, 0, ORDERS, 0
     while True:
         fresh = None
         for order in range(done, orders):
-            found = window_links(nodes, order, bits, k)
+            found = window_links(nodes, order, bits, k, threshold)
             fresh = found if fresh is None else fresh.unionByName(found)
         fresh = materialize(fresh, "nn-windows")
-        links = fresh if lists is None else links.unionByName(fresh)
-        lists = materialize(best(links, k), "nn-lists")
-        near = links.filter(F.col("sim") >= threshold)
-        part = components(near.select("a", "b"))
-        for _ in range(ROUNDS):
-            new = materialize(join_neighbours(lists, nodes, part, k), "nn-joined")
-            gained = new.filter(F.col("sim") >= threshold).limit(1).count()
-            links = links.unionByName(new)
-            lists = materialize(best(lists.unionByName(new), k), "nn-lists")
-            if not gained:
+        links = fresh if links is None else links.unionByName(fresh)
+        while True:
+            part = components(links.filter(F.col("sim") >= threshold).select("a", "b"))
+            lists = materialize(best(links, part, k), "nn-lists")
+            new = materialize(join_neighbours(lists, nodes, part, k, turn), "nn-joined")
+            links, turn = links.unionByName(new), turn + 1
+            if not new.filter(F.col("sim") >= threshold).limit(1).count():  # each such link joins two components
                 break
-            near = links.filter(F.col("sim") >= threshold)
-            part = components(near.select("a", "b"))
         counts = count_links(nodes, part, threshold)
         done = orders
-        if done >= MOST_ORDERS or audit(nodes, counts, threshold, audited) >= recall:
+        reached = audit(nodes, counts, threshold, audited)
+        if reached >= recall:
             break
+        if done >= MOST_ORDERS:
+            raise RuntimeError(f"near_components: recall {reached:.4f} after {done} orders, {recall} is asked for")
         orders = min(MOST_ORDERS, 2 * orders)
     placed = (nodes.join(part, "node", "left").join(counts, "node", "left")
               .select("node", F.coalesce("component", "node").alias("component"), "first",

@@ -130,3 +130,22 @@ def test_nn_descent_agrees_with_all_pairs(spark, monkeypatch):
                                   "vec_id bigint, embedding array<double>, label int")
     assert Counter(tuple(r) for r in D.near_components(twice).collect()) == Counter(
         [(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False)])
+
+
+def test_two_saturated_clumps_are_one_component(spark):
+    rnd = np.random.default_rng(8)
+    axes = np.linalg.qr(rnd.normal(size=(64, 2)))[0].T
+    angle = np.arccos(0.985)
+    ends = [axes[0], axes[0] * np.cos(angle) + axes[1] * np.sin(angle)]
+    rows = [(20 * c + k, (ends[c] + rnd.normal(size=64) * 1e-4).tolist(), 0) for c in (0, 1) for k in range(20)]
+    links = brute(rows, 0.98)
+    assert len(links) == 40 * 39 // 2  # every list of 8 holds only its own clump
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    assert {(r.n_links, r.component_id) for r in D.near_components(table).collect()} == {(39, 0)}
+
+
+def test_a_recall_that_no_order_reaches_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(D, "MOST_ORDERS", D.ORDERS)
+    table = spark.createDataFrame([(k, [1.0, k / 1000], 0) for k in range(5)], "vec_id bigint, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="recall"):
+        D.near_components(table, recall=1.1)
