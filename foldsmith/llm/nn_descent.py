@@ -8,21 +8,23 @@ links connect already: lists of vectors in a dense group are saturated, whatever
 by step a saturated list is enlarged at once to its whole component, block against block, where links are counted and
 never written out, and its ``k`` entries of other components lead out of the group.
 
-Recall is audited against brute force for a bounded number of vectors over all others; more orders are added until it
-is reached, and a recall still missed after the last order is an error.  Equal vectors of a label are folded into one
-node beforehand.
+Recall is audited against brute force for a bounded number of vectors over all others, each vector counting the same;
+those with few links, with many, and those of small labels are judged apart, and the least recall decides.  More orders
+are added until it is reached, and a recall still missed after the last order is an error.  Equal vectors of a label are
+folded into one node beforehand.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_group_stats
 from ..session import materialize, spread
 from .common import map_batches
 from .components import components
@@ -31,8 +33,9 @@ NEIGHBOURS = 8
 ORDERS = 6
 WINDOW = 256
 BLOCK = 400
+MOST_BITS = 40  # of a sign code
 EXPLORE = 0.9  # neighbours at least this near are kept in the lists: a link's ends share them
-AUDITED = 256
+AUDITED = 256  # vectors of a kind
 RECALL = 0.98
 MOST_ORDERS = 48
 
@@ -100,7 +103,16 @@ def nearest(sims: np.ndarray, threshold: float, k: int) -> set[tuple[int, int]]:
     return pairs.union(spanning, ((j, i) for i, j in spanning))
 
 
-def window_links(nodes: DataFrame, order: int, bits: int, k: int, threshold: float) -> DataFrame:
+def with_bits(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``nodes`` with the number of code bits that leave half a window's vectors of one label and length to a code."""
+    size = F.octet_length("vec").alias("size")
+    sizes = rows.select("label", size, "node").groupBy("label", "size").agg(F.countDistinct("node").alias("n"))
+    bits = F.least(F.lit(MOST_BITS), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / F.lit(WINDOW // 2)))))
+    sizes = materialize(sizes.withColumn("bits", bits.cast("int")), "nn-groups")
+    return join_group_stats(nodes.select("*", size), sizes, ["label", "size"], ["node"]).drop("size", "n")
+
+
+def window_links(nodes: DataFrame, order: int, k: int, threshold: float) -> DataFrame:
     """(a, b, sim): what :func:`nearest` gives among the vectors near each other in one random order."""
     def coded():
         planes: dict[int, np.ndarray] = {}
@@ -108,19 +120,21 @@ def window_links(nodes: DataFrame, order: int, bits: int, k: int, threshold: flo
         def step(batch: pa.RecordBatch):
             m = np.array(batch.column("vec").to_pylist(), dtype=object)
             sizes = np.array([len(x) // 8 for x in m])
+            bits = batch.column("bits").to_numpy().astype(np.int64)
             code, along = np.zeros(len(m), np.int64), np.zeros(len(m))
             for d in np.unique(sizes):
                 if d not in planes:
-                    planes[d] = np.random.default_rng([order, int(d)]).normal(size=(d, bits + 1))
+                    planes[d] = np.random.default_rng([order, int(d)]).normal(size=(d, MOST_BITS + 1))
                 at = np.flatnonzero(sizes == d)
                 sides = matrix(batch.column("vec").take(pa.array(at))) @ planes[d]
-                code[at] = ((sides[:, :bits] > 0) << np.arange(bits, dtype=np.int64)).sum(axis=1)
-                along[at] = sides[:, bits]
+                whole = ((sides[:, 1:] > 0) << np.arange(MOST_BITS, dtype=np.int64)).sum(axis=1)
+                code[at] = whole & ((1 << bits[at]) - 1)
+                along[at] = sides[:, 0]
             return {"node": batch.column("node"), "label": batch.column("label"), "vec": batch.column("vec"),
                     "size": sizes, "code": code, "along": along}
         return step
 
-    placed = map_batches(nodes.select("node", "label", "vec"), coded,
+    placed = map_batches(nodes.select("node", "label", "vec", "bits"), coded,
                          "node binary, label string, vec binary, size bigint, code bigint, along double")
     ordered = placed.repartitionByRange("label", "size", "code", "along", "node").sortWithinPartitions(
         "label", "size", "code", "along", "node")
@@ -259,13 +273,26 @@ def count_links(nodes: DataFrame, part: DataFrame, threshold: float) -> DataFram
     return materialize(counted.groupBy("node").agg(F.sum("linked").alias("linked")), "nn-counts")
 
 
-def audit(nodes: DataFrame, counts: DataFrame, threshold: float, most: int) -> float:
-    """Share of the links of ``most`` nodes that were found; the nodes are the first by a hash."""
-    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(most)
-    asked = asked.join(counts, "node", "left").select("node", "label", "vec", F.coalesce("linked", F.lit(0)).alias("linked"))
-    rows = asked.collect()  # of a fixed number
-    if not rows:
+def audit(nodes: DataFrame, counts: DataFrame, threshold: float, most: int, k: int) -> float:
+    """The least of the shares of a vector's links that were found, on average over the vectors of a kind.
+
+    Kinds are vectors with up to ``k`` links and with more, of small and of other labels.  Brute force is asked for at
+    most ``most`` vectors, the first by a hash, of every kind of what was found (no link being one), and each stands for
+    its share of them.
+    """
+    linked = F.coalesce("linked", F.lit(0))
+    kind = (F.col("bits") > 0).cast("int") * 3 + (linked > 0).cast("int") + (linked > k).cast("int")
+    graded = materialize(nodes.select("node", "bits").join(counts, "node", "left")
+                         .select("node", "bits", linked.alias("linked"), kind.alias("kind")), "nn-graded")
+    there = {r["kind"]: r["count"] for r in graded.groupBy("kind").count().collect()}
+    asked = None
+    for one in there:
+        part = graded.filter(F.col("kind") == one).orderBy(F.xxhash64("node"), "node").limit(most)
+        asked = part if asked is None else asked.unionByName(part)
+    if asked is None:
         return 1.0
+    rows = nodes.drop("bits").join(F.broadcast(asked), "node").select(
+        "node", "label", "vec", "bits", "linked", "kind").collect()  # of a fixed number
     sent = nodes.sparkSession.sparkContext.broadcast([(bytes(r.node), r.label, bytes(r.vec)) for r in rows])
 
     def make():
@@ -278,13 +305,12 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, most: int) -> f
             if batch is None:
                 return {"i": list(range(len(true))), "links": true}
             place = {name: i for i, name in enumerate(batch.column("node").to_pylist())}
-            labels = np.array(batch.column("label").to_pylist(), dtype=object)
-            size = np.array([len(x.as_buffer()) for x in batch.column("vec")])
-            copies = batch.column("copies").to_numpy()
-            for (label, n), asked_here in group.items():
-                at = np.flatnonzero((labels == label) & (size == n))
-                if not len(at):
-                    continue
+            copies, here = batch.column("copies").to_numpy(), defaultdict(list)
+            for i, (label, x) in enumerate(zip(batch.column("label").to_pylist(), batch.column("vec"))):
+                if (label, len(x.as_buffer())) in group:
+                    here[label, len(x.as_buffer())].append(i)
+            for key, at in here.items():
+                at, asked_here = np.array(at), group[key]
                 base = matrix(batch.column("vec").take(pa.array(at)))
                 query = matrix(pa.array([sent.value[i][2] for i in asked_here]))
                 linked = cosines(query, base) >= threshold
@@ -297,8 +323,14 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, most: int) -> f
 
     true = {r.i: r.links for r in map_batches(nodes, make, "i int, links bigint", last=True)
             .groupBy("i").agg(F.sum("links").alias("links")).collect()}
-    whole = sum(true.values())
-    return sum(min(r.linked, true[i]) for i, r in enumerate(rows)) / whole if whole else 1.0
+    drawn = Counter(r.kind for r in rows)
+    found, whole = Counter(), Counter()
+    for i, r in enumerate(rows):
+        if true[i]:
+            judged, weight = (r.bits > 0, true[i] > k), there[r.kind] / drawn[r.kind]
+            found[judged] += weight * min(r.linked, true[i]) / true[i]
+            whole[judged] += weight
+    return min((found[x] / whole[x] for x in whole), default=1.0)
 
 
 def near_components(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
@@ -314,15 +346,14 @@ def near_components(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     if label_col is None:
         vectors, label_col = vectors.withColumn("_label", F.lit("")), "_label"
     rows = fold(vectors, id_col, vector_col, label_col)
-    nodes = materialize(rows.filter("node is not null").groupBy("node", "label", "vec")
-                        .agg(F.count("*").alias("copies"), F.min("id").alias("first")), "nn-nodes")
-    size, groups = nodes.agg(F.count("*"), F.countDistinct("label")).first()
-    bits = max(0, min(40, math.ceil(math.log2(max(1, size / (128 * max(1, groups)))))))
+    usable = rows.filter("node is not null")
+    nodes = usable.groupBy("node", "label", "vec").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
+    nodes = materialize(with_bits(nodes, usable), "nn-nodes")
     links, done, orders, turn = None, 0, ORDERS, 0
     while True:
         fresh = None
         for order in range(done, orders):
-            found = window_links(nodes, order, bits, k, threshold)
+            found = window_links(nodes, order, k, threshold)
             fresh = found if fresh is None else fresh.unionByName(found)
         fresh = materialize(fresh, "nn-windows")
         links = fresh if links is None else links.unionByName(fresh)
@@ -335,7 +366,7 @@ def near_components(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
                 break
         counts = count_links(nodes, part, threshold)
         done = orders
-        reached = audit(nodes, counts, threshold, audited)
+        reached = audit(nodes, counts, threshold, audited, k)
         if reached >= recall:
             break
         if done >= MOST_ORDERS:

@@ -149,3 +149,22 @@ def test_a_recall_that_no_order_reaches_is_an_error(spark, monkeypatch):
     table = spark.createDataFrame([(k, [1.0, k / 1000], 0) for k in range(5)], "vec_id bigint, embedding array<double>, label int")
     with pytest.raises(RuntimeError, match="recall"):
         D.near_components(table, recall=1.1)
+
+
+def test_isolated_pairs_of_a_hot_label_are_found(spark):
+    rnd = np.random.default_rng(9)
+    one = rnd.normal(size=(8000, 32))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other = rnd.normal(size=one.shape)
+    other -= (other * one).sum(axis=1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    near = 0.985 * one + np.sqrt(1 - 0.985 ** 2) * other
+    hot = [(k, x.tolist(), "hot") for k, x in enumerate(np.stack([one, near], axis=1).reshape(-1, 32))]
+    dense = one[0] + rnd.normal(size=(1500, 32)) * 1e-3  # nearly all links, which must not hide the pairs' recall
+    rows = hot + [(20_000 + k, x.tolist(), "dense") for k, x in enumerate(dense)]
+    rows += [(30_000 + k, rnd.normal(size=32).tolist(), f"l{k % 1000}") for k in range(2000)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in D.near_components(table).collect()}
+    assert {got[r[0]] for r in rows if r[2] == "dense"} == {(1499, 20_000)}
+    met = sum(got[k + 1][1] == k for k in range(0, len(hot), 2))
+    assert met >= D.RECALL * len(one)
