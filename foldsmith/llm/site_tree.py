@@ -4,7 +4,11 @@ All pages of a host are merged into one tree of presentation nodes: a node is th
 that leads to it.  A content node is important where its texts differ from page to page and unimportant where the same
 few recur (one minus the mean normalised entropy of its texts); a presentation node also counts how far the layout
 below it differs.  Branches of low importance, against the tree they hang in, are removed from every page of the host,
-and so are the elements whose name or class says that they are not the article.
+and so are the elements whose name or role says that they are not the article.
+
+A class or id that says so is only a hint.  It counts for nothing on an element that holds the article, the page's
+first heading or most of its text; any other hinted element hangs in a tree of its own and is left out unless the
+host's pages show that its texts are important.
 
 The tree is never built in one place: pages emit their nodes and text digests, and the entropies are sums over groups
 of (host, node, digest), combined before they are shuffled.
@@ -28,6 +32,7 @@ from .url_filter import url_parts
 #: A branch is dropped below this importance, if it is also below ``RELATIVE`` times that of its tree, and stands on at
 #: least ``LEAST_PAGES`` pages.
 THRESHOLD, RELATIVE, LEAST_PAGES = 0.6, 0.6, 5
+HINTED = 0.8  # importance from which a hinted element stays
 GAMMA = 0.9  # weight of the contents against the layout of a node
 
 # Element names of HTML and words that mark what is not the article.
@@ -56,10 +61,13 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "node", "noise", "main", "children")
+    __slots__ = ("tag", "node", "noise", "main", "children", "hint", "under", "holds", "chars")
 
-    def __init__(self, tag: str, node: int, noise: bool, main: int):
+    def __init__(self, tag: str, node: int, noise: bool, main: int, hint: bool = False, under: bool = False):
         self.tag, self.node, self.noise, self.main, self.children = tag, node, noise, main, []
+        self.hint, self.under = hint, under  # by class or id; itself or an element around it
+        self.holds: set[str] = set()  # which of article, main and h1
+        self.chars = 0  # of text that is not noise
 
 
 def _node(parent: int, label: str) -> int:
@@ -74,7 +82,7 @@ class Page:
         self.stack = [self.root]
         self.blocks: list[tuple[str, tuple[Element, ...]]] = []
         self.closed: list[Element] = []
-        self.has_main = False
+        self.mains: list[Element] = []
         parts: list[str] = []
         at = 0
         while True:
@@ -114,6 +122,9 @@ class Page:
             parts.clear()
             if text:
                 self.blocks.append((text, tuple(self.stack[1:])))
+                if not self.stack[-1].noise:
+                    for element in self.stack:
+                        element.chars += len(text)
 
     def _open(self, name: str, attrs: str) -> None:
         shut = CLOSES.get(name, ())
@@ -132,17 +143,24 @@ class Page:
         parent = self.stack[-1]
         main = parent.main
         noise = (parent.noise or name in NOISE_TAGS or values.get("role", "").lower() in ROLES
-                 or name == "header" and not main or bool(words & NOISE_WORDS) and name not in ("html", "body"))
+                 or name == "header" and not main)
+        hint = bool(words & NOISE_WORDS) and name not in ("html", "body")
         label = ".".join([name, *sorted(values.get("class", "").lower().split())[:3]])
         if len(self.stack) > 200:  # deeper elements count as their ancestor at this depth
             label, node = "", parent.node
         else:
             node = _node(parent.node, label)
-        element = Element(name, node, noise, main)
-        if name in MAIN_TAGS and not noise:
-            element.main, self.has_main = main or node, True
+        element = Element(name, node, noise, main, hint, hint or parent.under)
         parent.children.append(name)
         self.stack.append(element)
+        if name in MAIN_TAGS and not noise:
+            element.main = main or node
+            self.mains.append(element)
+        if (name in MAIN_TAGS or name == "h1") and not noise:
+            for outer in reversed(self.stack):
+                if name in outer.holds:
+                    break
+                outer.holds.add(name)
 
     def _close(self, name: str) -> None:
         for depth in range(len(self.stack) - 1, 0, -1):
@@ -154,33 +172,52 @@ class Page:
     def body(self) -> int:
         return _node(_node(0, "html"), "body")
 
-    def content(self) -> Iterator[tuple[str, tuple[Element, ...]]]:
-        """Blocks that no element's name or class rules out; where a page marks its article, only what is inside."""
+    def content(self) -> Iterator[tuple[str, int, list[int], int]]:
+        """(text, top, nodes, hinted) of blocks that no element's name rules out; where a page marks its article, only
+        what is inside.
+
+        ``top`` is the tree a block hangs in (its article, else the body), ``nodes`` lead to the block below it.  What
+        a hint speaks against has its outermost such element as ``hinted`` and hangs in that one's tree; else it is 0.
+        """
+        marked = any(not e.under for e in self.mains)
+
+        def article(e: Element) -> bool:  # an article under a hint counts if it is plainly the page's
+            return not e.under or "main" in e.holds or "h1" in e.holds or 2 * e.chars > self.root.chars
+
+        def ruled_out(e: Element) -> bool:
+            return e.hint and not ("main" in e.holds or "h1" in e.holds or 2 * e.chars > self.root.chars
+                                   or "article" in e.holds and not marked)
+
+        tops = {id(e) for e in self.mains if article(e)}
         for text, chain in self.blocks:
             last = chain[-1] if chain else self.root
-            if not last.noise and last.tag not in ("html", "head") and (last.main or not self.has_main):
-                yield text, chain
+            if last.noise or last.tag in ("html", "head"):
+                continue
+            at = next((i for i, e in enumerate(chain) if id(e) in tops), None) if last.main else None
+            if tops and at is None:
+                continue
+            out = next((i for i, e in enumerate(chain) if ruled_out(e)), None) if last.under else None
+            if out is not None:
+                yield text, hinted_tree(chain[out].node), [e.node for e in chain[out + 1:]], chain[out].node
+            elif at is not None:
+                yield text, chain[at].node, [e.node for e in chain[at + 1:]], 0
+            else:
+                yield text, 0, [e.node for e in chain if e.tag not in ("html", "body")], 0
 
 
-def below_top(chain: tuple[Element, ...]) -> tuple[int, list[int]]:
-    """The tree a block hangs in (its article, else the body) and the nodes below it that lead to the block."""
-    top = chain[-1].main if chain else 0
-    nodes = [e.node for e in chain]
-    if top:
-        return top, nodes[nodes.index(top) + 1:]
-    inner = [e.node for e in chain if e.tag not in ("html", "body")]
-    return 0, inner
+def hinted_tree(node: int) -> int:
+    return _node(node, "#hinted")
 
 
-def main_text(source: str, removed: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's blocks joined by one space, without the nodes in ``removed``."""
-    page = Page(source)
-    return " ".join(text for text, chain in page.content()
-                    if not removed or removed.isdisjoint(below_top(chain)[1]))
+def main_text(source: str, removed: frozenset[int] | set[int] = frozenset(),
+              kept: frozenset[int] | set[int] = frozenset()) -> str:
+    """The article's blocks joined by one space, without the nodes in ``removed``; of hinted trees those in ``kept``."""
+    return " ".join(text for text, top, nodes, hinted in Page(source).content()
+                    if (not hinted or top in kept) and (not removed or removed.isdisjoint(nodes)))
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, removed): per host the nodes of low importance, from pages (id, host, html)."""
+    """(host, removed, kept): per host the nodes of low importance and the hinted trees of high, from pages (id, host, html)."""
     def make():
         def step(batch: pa.RecordBatch):
             out = {n: [] for n in ("host", "top", "nodes", "digest")}
@@ -188,8 +225,7 @@ def style_trees(pages: DataFrame) -> DataFrame:
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 page = Page(source or "")
                 seen = set()
-                for text, chain in page.content():
-                    top, nodes = below_top(chain)
+                for text, top, nodes, _ in page.content():
                     seen.add((top, tuple(nodes), xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1))
                 for top, nodes, digest in seen:
                     for name, value in zip(out, (host, top, list(nodes), digest)):
@@ -228,8 +264,11 @@ def style_trees(pages: DataFrame) -> DataFrame:
               .join(layout.select("host", "node", "layout"), ["host", "node"], "left")
               .withColumn("composite", F.coalesce((1 - GAMMA) * F.col("layout") + GAMMA * F.col("content"), "content")))
     low = judged.filter((F.col("composite") < THRESHOLD) & (F.col("composite") < RELATIVE * F.col("whole"))
-                        & (F.col("m") >= LEAST_PAGES))
-    return low.groupBy("host").agg(F.collect_set("node").alias("removed"))
+                        & (F.col("m") >= LEAST_PAGES)).select("host", F.col("node").alias("low"), F.lit(None).cast("bigint").alias("high"))
+    # only a hinted tree is asked for by its top
+    high = branch.filter((F.col("node") == 0) & (F.col("top") != 0) & (F.col("content") >= HINTED)
+                         & (F.col("m") >= LEAST_PAGES)).select("host", F.lit(None).cast("bigint").alias("low"), F.col("top").alias("high"))
+    return low.unionByName(high).groupBy("host").agg(F.collect_set("low").alias("removed"), F.collect_set("high").alias("kept"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -245,11 +284,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def make():
         def step(batch: pa.RecordBatch):
-            texts = [main_text(source or "", frozenset(removed or ())) for source, removed in
-                     zip(batch.column("html").to_pylist(), batch.column("removed").to_pylist())]
+            texts = [main_text(source or "", frozenset(removed or ()), frozenset(kept or ())) for source, removed, kept in
+                     zip(*(batch.column(n).to_pylist() for n in ("html", "removed", "kept")))]
             return {"id": batch.column("id"), "url": batch.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}
         return step
 
-    joined = rows.join(trees, "host", "left").select("id", "url", "html", "removed")
+    joined = rows.join(trees, "host", "left").select("id", "url", "html", "removed", "kept")
     return (map_batches(joined, make, f"id {kind}, url string, text string, n_chars bigint")
             .withColumnsRenamed({"id": id_col, "url": url_col}))

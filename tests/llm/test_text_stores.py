@@ -98,6 +98,31 @@ def test_main_text_of_odd_pages():
     assert len(S.main_text("<p>" + "<i" * 30_000)) >= 0
 
 
+def test_hints_on_wrappers_do_not_lose_the_article():
+    noise = "<div class=sidebar>menu</div>"
+    assert S.main_text(f"<div id=page class='has-sidebar'><article><h1>T</h1><p>body</article>{noise}</div>") == "T body"
+    assert S.main_text(f"<main class='content no-sidebar'><p>body</p>{noise}</main>") == "body"
+    assert S.main_text(f"<article class='post social'><p>body</p></article>{noise}") == "body"
+    assert S.main_text(f"<article><div class='post-header'><h1>T</h1></div><p>the long body</p>{noise}</article>") == "T the long body"
+    assert S.main_text(f"<div class='widget-area'><p>body of the page</p>{noise}</div>") == "body of the page"
+    # cards and comments marked as articles beside the page's text do not replace it
+    assert "the long body" in S.main_text("<div><p>the long body</p></div><div class=related><article>card</article></div>")
+    assert S.main_text("<article>body</article><div class=comments><article>long comment</article></div>") != ""
+
+
+def test_entropies_decide_on_hinted_elements(spark):
+    rnd = random.Random(5)
+    line = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(8))
+    rows, want = [], {}
+    for k in range(30):
+        texts = [line() for _ in range(4)]
+        rows.append((k, "http://h.com/", "".join(f"<div class='page-widget'><p>{t}</p></div>" for t in texts)
+                     + "<div class=promo><p>Buy now</p></div>"))
+        want[k] = " ".join(texts)
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in S.extract(pages).collect()} == want
+
+
 def test_site_tree_removes_what_a_host_repeats(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
