@@ -39,8 +39,11 @@ GAMMA = 0.9  # weight of the contents against the layout of a node
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s "
                    "samp small span strike strong sub sup time tt u var wbr nobr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math select object "
-                "video audio canvas".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())  # no elements inside
+TO_THE_END = frozenset(("script", "style", "xmp"))  # without an end tag they hide the rest of the page
+EMBEDDED = frozenset("template svg select object video audio canvas annotation annotation-xml".split())  # noise, if ended
+MATH = frozenset("math mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle "
+                 "mtable mtr mtd mfenced menclose mpadded mphantom mmultiscripts semantics".split())  # part of the line
 NOISE_TAGS = frozenset("nav footer aside form button dialog menu head fieldset datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 NOISE_WORDS = frozenset(
@@ -61,19 +64,38 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "node", "noise", "main", "children", "hint", "under", "holds", "chars")
+    __slots__ = ("tag", "node", "noise", "main", "children", "hint", "under", "holds", "chars", "foreign")
 
     def __init__(self, tag: str, node: int, noise: bool, main: int, hint: bool = False, under: bool = False):
         self.tag, self.node, self.noise, self.main, self.children = tag, node, noise, main, []
         self.hint, self.under = hint, under  # by class or id; itself or an element around it
         self.holds: set[str] = set()  # which of article, main and h1
         self.chars = 0  # of text that is not noise
+        self.foreign = False  # within svg, where a slash ends an element
 
 
 def _node(parent: int, label: str) -> int:
     return xxhash.xxh64_intdigest(label.encode("utf-8", "replace"), parent & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
+def tags(source: str) -> list[tuple[str, str, bool, str]]:
+    """(text before, name, end, attributes) of every tag, with an empty name for comments and the end of the page."""
+    found, without_end, at = [], set(), 0
+    while tag := TAG.search(source, at):
+        name = (tag["name"] or "").lower()
+        found.append((source[at:tag.start()], name, bool(tag["end"]), tag["attrs"] or ""))
+        at = tag.end()
+        if name in RAW and not tag["end"] and name not in without_end:
+            end = re.compile(f"</{re.escape(name)}\\b[^>]*+(?:>|\\Z)", re.I).search(source, at)
+            if end:
+                at = end.end()
+            elif name in TO_THE_END:
+                return found
+            else:
+                without_end.add(name)
+    return [*found, (source[at:], "", False, "")]
+
+
 class Page:
     """One page read once, front to back: ``blocks`` is a list of (text, element chain) in page order."""
 
@@ -84,34 +106,31 @@ class Page:
         self.closed: list[Element] = []
         self.mains: list[Element] = []
         parts: list[str] = []
-        at = 0
-        while True:
-            found = TAG.search(source, at)
-            parts.append(source[at:found.start() if found else len(source)])
-            if not found:
-                break
-            at = found.end()
-            name = found["name"]
-            if name is None:
+        found = tags(source)
+        waiting: dict[str, list[int]] = {name: [] for name in EMBEDDED}
+        ended = set()  # places of embedded elements that have an end tag
+        for i, (_, name, end, attrs) in enumerate(found):
+            if name in EMBEDDED:
+                if not end and not (name == "svg" and attrs.endswith("/")):
+                    waiting[name].append(i)
+                elif end and waiting[name]:
+                    ended.add(waiting[name].pop())
+        for i, (text, name, end, attrs) in enumerate(found):
+            parts.append(text)
+            if not name or name in INLINE:
                 continue
-            name = name.lower()
-            if not found["end"] and name in RAW:
-                self._flush(parts) if name not in INLINE else None
-                end = re.compile(f"</{re.escape(name)}\\b[^>]*+(?:>|\\Z)", re.I).search(source, at)
-                at = end.end() if end else len(source)
-                continue
-            if name in INLINE:
-                continue
-            if name == "br":
-                parts.append(" ")
+            if name == "br" or name in MATH:
+                parts.append(" " if name in ("br", "mtr", "mtd") else "")
                 continue
             self._flush(parts)
-            if name in VOID:
+            if name in VOID or name in RAW and not end:
                 continue
-            if found["end"]:
+            if end:
                 self._close(name)
-            elif not found["attrs"].endswith("/") or name not in ("p", "div"):
-                self._open(name, found["attrs"])
+            elif name in EMBEDDED and i not in ended or attrs.endswith("/") and self.stack[-1].foreign:
+                continue
+            elif not attrs.endswith("/") or name not in ("p", "div"):
+                self._open(name, attrs)
         self._flush(parts)
         while len(self.stack) > 1:
             self.closed.append(self.stack.pop())
@@ -128,7 +147,7 @@ class Page:
 
     def _open(self, name: str, attrs: str) -> None:
         shut = CLOSES.get(name, ())
-        if self.stack[-1].tag == "p":
+        if self.stack[-1].tag == "p" and name not in EMBEDDED:
             self.closed.append(self.stack.pop())
         for depth in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[depth].tag
@@ -142,7 +161,7 @@ class Page:
         words = set(WORDS.findall(f"{values.get('class', '')} {values.get('id', '')}".lower()))
         parent = self.stack[-1]
         main = parent.main
-        noise = (parent.noise or name in NOISE_TAGS or values.get("role", "").lower() in ROLES
+        noise = (parent.noise or name in NOISE_TAGS or name in EMBEDDED or values.get("role", "").lower() in ROLES
                  or name == "header" and not main)
         hint = bool(words & NOISE_WORDS) and name not in ("html", "body")
         label = ".".join([name, *sorted(values.get("class", "").lower().split())[:3]])
@@ -151,6 +170,7 @@ class Page:
         else:
             node = _node(parent.node, label)
         element = Element(name, node, noise, main, hint, hint or parent.under)
+        element.foreign = name == "svg" or parent.foreign
         parent.children.append(name)
         self.stack.append(element)
         if name in MAIN_TAGS and not noise:

@@ -98,6 +98,18 @@ def test_main_text_of_odd_pages():
     assert len(S.main_text("<p>" + "<i" * 30_000)) >= 0
 
 
+def test_elements_without_end_tag_do_not_cut_the_page():
+    assert S.main_text("<p>a<svg viewBox='0 0 1 1'/>b<p>c") == "a b c"
+    assert S.main_text("<p>a<svg><path d='M0'/><text>no</text></svg>b<p>c") == "a b c"
+    assert S.main_text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds<math/> here") == "so x=1 holds here"
+    for name in ("canvas", "object", "video", "select", "template"):
+        assert S.main_text(f"<p>a<{name} id=x><p>b") == "a b"
+        assert S.main_text(f"<p>a<{name}>no</{name}>b") == "a b"
+        assert S.main_text(f"<p>a<{name}><p>b<{name}>no</{name}>c") == "a b c"
+    assert S.main_text("<p>a<title>b") == "a b" and S.main_text("<p>a<style>b<p>c") == "a"
+    assert S.main_text("<svg>" * 3000 + "x" + "<path/>" * 3000) == "x"
+
+
 def test_hints_on_wrappers_do_not_lose_the_article():
     noise = "<div class=sidebar>menu</div>"
     assert S.main_text(f"<div id=page class='has-sidebar'><article><h1>T</h1><p>body</article>{noise}</div>") == "T body"
