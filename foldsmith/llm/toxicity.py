@@ -37,12 +37,32 @@ DECAY = 0.05
 PADDING = 16  # neutral words added to every passage, so that a few words alone do not decide
 KNOWN_WORDS = 400_000  # entries of a task's word table before it is emptied
 
+PIECE, SHARED = 64, 8  # bytes of a word, at most, and bytes that the pieces of a longer run share at least
+
 SEPARATORS = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 
 
+def pieces(run: bytes) -> list[bytes]:
+    """A run longer than a word, as in scripts without spaces, in overlapping pieces that no character is cut by.
+
+    Neighbours share at least ``SHARED`` bytes, so every n-gram of the run is in a piece.
+    """
+    def back(at: int) -> int:  # to the first byte of a character; bytes that are no UTF-8 are cut anywhere
+        return next((k for k in range(at, at - 4, -1) if run[k] & 0xC0 != 0x80), at)
+
+    out, start = [], 0
+    while len(run) - start > PIECE:
+        end = back(start + PIECE)
+        out.append(run[start:end])
+        start = back(end - SHARED)
+    return [*out, run[start:]]
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased words without ASCII punctuation; a word said again and again counts once."""
     words = text.lower().translate(SEPARATORS).split()
+    if max(map(len, words), default=0) > PIECE:
+        words = [p for w in words for p in (pieces(w) if len(w) > PIECE else (w,))]
     return [w for w, before in zip(words, [None, *words]) if w != before]
 
 
@@ -55,7 +75,7 @@ def excerpt(text: bytes) -> list[bytes]:
 
 def ngrams(word: bytes) -> set[int]:
     """Hashed byte n-grams of one word, with marks at both ends, and the word itself."""
-    marked = b"<" + word[:64] + b">"
+    marked = b"<" + word + b">"
     size = len(marked)
     return {zlib.crc32(marked[i:i + n]) % BUCKETS for n in NGRAMS for i in range(size - n + 1)} | {
         zlib.crc32(marked) % BUCKETS}

@@ -212,6 +212,24 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark):
     assert T.Scorer(T.train([b"a b"], [1])).score(b"a b") < 0.5
 
 
+def test_runs_without_spaces_are_scored_whole():
+    rnd = random.Random(3)
+    signs = [chr(0x4E00 + k) for k in range(12)]
+    texts = []
+    for k in range(900):
+        run = [rnd.choice(signs) for _ in range(rnd.randint(60, 120))]
+        if k % 2:
+            run.insert(rnd.randrange(25, len(run)), "笨蛋滚")  # past the first 64 bytes
+        texts.append("".join(run).encode())
+    scorer = T.Scorer(T.train(texts[:675], [k % 2 for k in range(675)]))
+    assert sum((scorer.score(t) >= 0.5) == bool(k % 2) for k, t in enumerate(texts) if k >= 675) >= 0.8 * 225
+    for run in (texts[0], b"a" * 65, "aé😀語".encode() * 50, bytes(range(128, 256)) * 3):
+        parts = T.pieces(run)
+        assert max(map(len, parts)) <= T.PIECE and run.startswith(parts[0]) and run.endswith(parts[-1])
+        assert {run[i:i + 5] for i in range(len(run) - 4)} == {p[i:i + 5] for p in parts for i in range(len(p) - 4)}
+    assert all(p.decode() for p in T.pieces("aé😀語".encode() * 50))
+
+
 def test_toxicity_on_the_tables(spark):  # some 360 toxic texts to learn from, in four languages
     folder = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
