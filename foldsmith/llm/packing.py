@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -26,6 +27,8 @@ from ..session import materialize, spread
 from .common import map_batches
 
 ROWS_PER_BUCKET = 20_000
+#: The backtracking split gives up on white space somewhat longer than this; it is looked for from its start only.
+LONG_SPACE = re.compile(r"(?<!\s)\s{100000}")
 
 
 @dataclass(frozen=True)
@@ -101,7 +104,8 @@ def load_encoder(path: str) -> Callable[[str], list[int]]:
     """Text to ids, equal to ``tokenizers`` on the file ``path`` without special tokens.
 
     A plain byte-level vocabulary whose ids are its merge ranks is run by ``tiktoken``, which gives the same ids at
-    three times the speed; a text that holds an added token's string, and any other file, goes to ``tokenizers``.
+    three times the speed; a text that holds an added token's string or a very long run of white space, and any other
+    file, goes to ``tokenizers``.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -126,7 +130,9 @@ def load_encoder(path: str) -> Callable[[str], list[int]]:
     added = [t["content"] for t in spec["added_tokens"]]
 
     def encode(text: str) -> list[int]:
-        return exact(text) if any(a in text for a in added) else fast.encode_ordinary(text)
+        if any(a in text for a in added) or len(text) >= 100_000 and LONG_SPACE.search(text):
+            return exact(text)
+        return fast.encode_ordinary(text)
 
     return encode
 
