@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,7 @@ SEED = re.compile(r"[0-9@]")
 N_FEATURES = 64
 LABELLED_KEY = re.compile(r"(?:token|secret|api_key|password)\s*=\s*\"([0-9A-Fa-f]{16,})\"", re.I)
 SAMPLE_WINDOWS = 400
+SAMPLE_CHARS = 4000  # windows above this are not trained on, which bounds what the driver gets
 EPOCHS = 6
 
 
@@ -154,43 +156,54 @@ def segment_features(text: str, tokens: Sequence[tuple[int, int]], i: int, j: in
     return f
 
 
-def segments(text: str, tokens: Sequence[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
-    seeded = [bool(SEED.search(text, *t)) for t in tokens]
-    out = []
+def segments(text: str, tokens: Sequence[tuple[int, int]]) -> Iterator[tuple[int, int, list[int]]]:
+    """(i, j, features) of every segment of at most ``MOST_TOKENS`` tokens that can be an entity, by its start."""
+    seeded = bytearray(bool(SEED.search(text, *t)) for t in tokens)
     for i, (start, _) in enumerate(tokens):
         if not (text[start].isalnum() or text[start] in "+("):
             continue
-        seen = False
-        for j in range(i + 1, min(i + MOST_TOKENS, len(tokens)) + 1):
-            seen = seen or seeded[j - 1]
-            if seen and (f := segment_features(text, tokens, i, j)) is not None:
-                out.append((i, j, f))
-    return out
+        most = min(i + MOST_TOKENS, len(tokens))
+        seed = seeded.find(1, i, most)
+        for j in range(seed + 1, most + 1) if seed >= 0 else ():
+            if (f := segment_features(text, tokens, i, j)) is not None:
+                yield i, j, f
 
 
 def decode(text: str, tokens: Sequence[tuple[int, int]], weights: np.ndarray) -> list[Span]:
-    """The best segmentation: single tokens outside score 0, segments the sum of their type's weights."""
+    """The best segmentation: single tokens outside score 0, segments the sum of their type's weights.
+
+    Segments are scored as the walk reaches their start.  Only the scores of the positions a segment can reach are
+    held; of every position two bytes stay, the kind and the length of the segment that ends there.
+    """
     n = len(tokens)
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    ends: dict[int, list[tuple[int, int, float]]] = {}
+    kinds, lengths = bytearray(n + 1), bytearray(n + 1)  # length 0: the token before lies outside
+    offers: deque[list] = deque([0.0, 0, 0] for _ in range(MOST_TOKENS + 1))  # best segment up to each position ahead
+    best, at = 0.0, 0
+
+    def walk(to: int) -> None:
+        nonlocal best, at
+        while at < to:
+            offers.popleft()
+            offers.append([0.0, 0, 0])
+            at += 1
+            score, kind, length = offers[0]
+            if length and score > best:
+                best, kinds[at], lengths[at] = score, kind, length
+
     for i, j, f in segments(text, tokens):
+        walk(i)
         scores = weights[:, f].sum(axis=1)
         y = int(scores.argmax())
         if scores[y] > 0:
-            ends.setdefault(j, []).append((i, y, float(scores[y])))
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, y, s in ends.get(j, ()):
-            if best[i] + s > best[j]:
-                best[j], back[j] = best[i] + s, (i, y)
+            offer = offers[j - i]
+            if not offer[2] or best + float(scores[y]) > offer[0]:
+                offer[:] = best + float(scores[y]), y, j - i
+    walk(n)
     out, j = [], n
     while j > 0:
-        if back[j] is None:
-            j -= 1
-        else:
-            i, y = back[j]
-            out.append((KINDS[y], tokens[i][0], tokens[j - 1][1]))
-            j = i
+        if lengths[j]:
+            out.append((KINDS[kinds[j]], tokens[j - lengths[j]][0], tokens[j - 1][1]))
+        j -= lengths[j] or 1
     return out[::-1]
 
 
@@ -204,7 +217,7 @@ def train(texts: Sequence[str], epochs: int = EPOCHS, rate: float = 0.3, penalty
         gold = {(s, e): KINDS.index(k) for k, s, e in base_spans(text)}
         gold |= {m.span(1): KINDS.index("secret") for m in LABELLED_KEY.finditer(text)}
         for tokens in windows(text):
-            found = segments(text, tokens)
+            found = list(segments(text, tokens))
             if found:
                 labels = [gold.get((tokens[i][0], tokens[j - 1][1]), -1) for i, j, _ in found]
                 examples.append((len(tokens), found, labels))
@@ -254,13 +267,17 @@ def find_spans(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
 
 
 def fit(docs: DataFrame, text_col: str = "text", most: int = SAMPLE_WINDOWS) -> np.ndarray:
-    """Train on at most ``most`` windows of ``docs``, the first by a hash of their text."""
+    """Train on at most ``most`` different windows of ``docs`` of at most ``SAMPLE_CHARS``, the first by a hash of their text.
+
+    Null texts and those without digits or ``@`` have no windows; equal windows count once; an empty table gives weights
+    that find nothing.
+    """
     rows = spread(docs.select(F.col(text_col).alias("text")).filter(F.col(text_col).rlike("[0-9@]")))
 
     def make():
         def step(batch: pa.RecordBatch):
             cut = [t[w[0][0]:w[-1][1]] for t in batch.column("text").to_pylist() for w in windows(t)]
-            return {"cut": [c for c in cut if len(c) <= 4000]}
+            return {"cut": [c for c in cut if len(c) <= SAMPLE_CHARS]}
         return step
 
     cuts = map_batches(rows, make, "cut string").distinct()
@@ -271,7 +288,8 @@ def fit(docs: DataFrame, text_col: str = "text", most: int = SAMPLE_WINDOWS) ->
 def detect(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans) for every row: an array of (kind, start, end, is_base) by kind, then start.
 
-    A null or empty text has no spans; ids may be null or repeated.
+    A null or empty text has no spans; ids may be null or repeated; other columns are ignored and an empty table gives an
+    empty result.  Time and memory follow the length of a text, tables of numbers of many megabytes included.
     """
     rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     kind = rows.schema["id"].dataType.simpleString()
@@ -294,7 +312,7 @@ def detect(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_co
 def mask(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``<KIND>``; overlapping spans are replaced as one.
 
-    Columns stay as they are, null texts stay null.
+    Columns stay as they are, whatever they are named; null texts stay null, and an empty table stays empty.
     """
     names, kinds = docs.columns, [f.dataType.simpleString() for f in docs.schema]
     at = names.index(text_col)

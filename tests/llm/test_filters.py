@@ -113,7 +113,7 @@ def test_decoding_is_the_best_of_all_segmentations():
     tokens = P.windows(text)[0]
     for _ in range(20):
         weights = rnd.normal(size=(len(P.KINDS), P.N_FEATURES))
-        found = P.segments(text, tokens)
+        found = list(P.segments(text, tokens))
 
         def every(i):
             yield 0.0, [] if i >= len(tokens) else []
@@ -239,3 +239,21 @@ def test_toxicity_on_the_tables(spark):  # some 360 toxic texts to learn from, i
     right = Counter((r.toxic, int(r.score >= 0.5)) for r in scored)
     assert right[(1, 1)] >= 0.6 * (right[(1, 1)] + right[(1, 0)])
     assert right[(0, 0)] >= 0.95 * (right[(0, 0)] + right[(0, 1)])
+
+
+def test_segments_of_a_table_of_numbers_are_walked_in_bounded_memory():
+    import random
+    import tracemalloc
+
+    from foldsmith.llm import personal as P
+
+    rnd = random.Random(1)
+    weights = np.zeros((len(P.KINDS), P.N_FEATURES))
+    peaks = []
+    for lines in (60, 480):
+        text = "\n".join(" ".join(str(rnd.randrange(10 ** rnd.randrange(1, 9))) for _ in range(10)) for _ in range(lines))
+        tracemalloc.start()
+        P.decode(text, P.windows(text)[0], weights)
+        peaks.append(tracemalloc.get_traced_memory()[1] / len(text))
+        tracemalloc.stop()
+    assert peaks[1] < 60 and peaks[1] < 1.5 * peaks[0]  # bytes a character, so 6 MB take some 360 MB
