@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,10 +65,10 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "node", "noise", "main", "children", "hint", "under", "holds", "chars", "foreign")
+    __slots__ = ("tag", "node", "noise", "main", "children", "hint", "under", "holds", "chars", "foreign", "parent")
 
-    def __init__(self, tag: str, node: int, noise: bool, main: int, hint: bool = False, under: bool = False):
-        self.tag, self.node, self.noise, self.main, self.children = tag, node, noise, main, []
+    def __init__(self, tag: str, node: int, noise: bool, main: int, hint: bool = False, under: bool = False, parent=None):
+        self.tag, self.node, self.noise, self.main, self.children, self.parent = tag, node, noise, main, [], parent
         self.hint, self.under = hint, under  # by class or id; itself or an element around it
         self.holds: set[str] = set()  # which of article, main and h1
         self.chars = 0  # of text that is not noise
@@ -97,12 +98,16 @@ def tags(source: str) -> list[tuple[str, str, bool, str]]:
 
 
 class Page:
-    """One page read once, front to back: ``blocks`` is a list of (text, element chain) in page order."""
+    """One page read once, front to back: ``blocks`` is a list of (text, innermost element) in page order.
+
+    Elements link to their parent, so a page costs what it is long however deep it nests.
+    """
 
     def __init__(self, source: str):
         self.root = Element("#page", 0, False, 0)
         self.stack = [self.root]
-        self.blocks: list[tuple[str, tuple[Element, ...]]] = []
+        self.blocks: list[tuple[str, Element]] = []
+        self.open_tags: Counter[str] = Counter()
         self.closed: list[Element] = []
         self.mains: list[Element] = []
         parts: list[str] = []
@@ -132,28 +137,25 @@ class Page:
             elif not attrs.endswith("/") or name not in ("p", "div"):
                 self._open(name, attrs)
         self._flush(parts)
-        while len(self.stack) > 1:
-            self.closed.append(self.stack.pop())
+        self._shut(1)
 
     def _flush(self, parts: list[str]) -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                self.blocks.append((text, tuple(self.stack[1:])))
+                self.blocks.append((text, self.stack[-1]))
                 if not self.stack[-1].noise:
-                    for element in self.stack:
-                        element.chars += len(text)
+                    self.stack[-1].chars += len(text)
 
     def _open(self, name: str, attrs: str) -> None:
         shut = CLOSES.get(name, ())
         if self.stack[-1].tag == "p" and name not in EMBEDDED:
-            self.closed.append(self.stack.pop())
-        for depth in range(len(self.stack) - 1, 0, -1):
+            self._shut(len(self.stack) - 1)
+        for depth in range(len(self.stack) - 1, 0, -1) if any(self.open_tags[tag] for tag in shut) else ():
             tag = self.stack[depth].tag
             if tag in shut:
-                self.closed += self.stack[depth:]
-                del self.stack[depth:]
+                self._shut(depth)
                 break
             if tag in SCOPE:
                 break
@@ -169,10 +171,11 @@ class Page:
             label, node = "", parent.node
         else:
             node = _node(parent.node, label)
-        element = Element(name, node, noise, main, hint, hint or parent.under)
+        element = Element(name, node, noise, main, hint, hint or parent.under, parent)
         element.foreign = name == "svg" or parent.foreign
         parent.children.append(name)
         self.stack.append(element)
+        self.open_tags[name] += 1
         if name in MAIN_TAGS and not noise:
             element.main = main or node
             self.mains.append(element)
@@ -183,16 +186,23 @@ class Page:
                 outer.holds.add(name)
 
     def _close(self, name: str) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
+        for depth in range(len(self.stack) - 1, 0, -1) if self.open_tags[name] else ():
             if self.stack[depth].tag == name:
-                self.closed += self.stack[depth:]
-                del self.stack[depth:]
+                self._shut(depth)
                 return
 
+    def _shut(self, depth: int) -> None:
+        """Close the elements from ``depth`` on; what they hold counts for the element around them."""
+        self.closed += self.stack[depth:]
+        for element in reversed(self.stack[depth:]):
+            element.parent.chars += element.chars
+            self.open_tags[element.tag] -= 1
+        del self.stack[depth:]
+
     def body(self) -> int:
         return _node(_node(0, "html"), "body")
 
-    def content(self) -> Iterator[tuple[str, int, list[int], int]]:
+    def content(self) -> Iterator[tuple[str, int, tuple[int, ...], int]]:
         """(text, top, nodes, hinted) of blocks that no element's name rules out; where a page marks its article, only
         what is inside.
 
@@ -209,20 +219,49 @@ class Page:
                                    or "article" in e.holds and not marked)
 
         tops = {id(e) for e in self.mains if article(e)}
-        for text, chain in self.blocks:
-            last = chain[-1] if chain else self.root
+        # of every element, the outermost article and the outermost ruled-out element around it, outer ones first
+        top_of: dict[int, Element | None] = {id(self.root): None}
+        out_of: dict[int, Element | None] = {id(self.root): None}
+        paths: dict[tuple[int, int], tuple[int, ...]] = {}
+
+        def know(element: Element) -> None:
+            todo = []
+            while id(element) not in top_of:
+                todo.append(element)
+                element = element.parent
+            for e in reversed(todo):
+                top_of[id(e)] = top_of[id(e.parent)] or (e if id(e) in tops else None)
+                out_of[id(e)] = out_of[id(e.parent)] or (e if ruled_out(e) else None)
+
+        def path(element: Element, above: Element) -> tuple[int, ...]:
+            """The nodes below ``above`` down to ``element``; elements that count as their ancestor add none."""
+            todo, found = [], ()
+            while element is not above:
+                if (element.node, above.node) in paths:
+                    found = paths[element.node, above.node]
+                    break
+                todo.append(element)
+                element = element.parent
+            for e in reversed(todo):
+                if e.node != e.parent.node and not (above is self.root and e.tag in ("html", "body")):
+                    found = (*found, e.node)
+                paths[e.node, above.node] = found
+            return found
+
+        for text, last in self.blocks:
             if last.noise or last.tag in ("html", "head"):
                 continue
-            at = next((i for i, e in enumerate(chain) if id(e) in tops), None) if last.main else None
+            know(last)
+            at = top_of[id(last)] if last.main else None
             if tops and at is None:
                 continue
-            out = next((i for i, e in enumerate(chain) if ruled_out(e)), None) if last.under else None
+            out = out_of[id(last)] if last.under else None
             if out is not None:
-                yield text, hinted_tree(chain[out].node), [e.node for e in chain[out + 1:]], chain[out].node
+                yield text, hinted_tree(out.node), path(last, out), out.node
             elif at is not None:
-                yield text, chain[at].node, [e.node for e in chain[at + 1:]], 0
+                yield text, at.node, path(last, at), 0
             else:
-                yield text, 0, [e.node for e in chain if e.tag not in ("html", "body")], 0
+                yield text, 0, path(last, self.root), 0
 
 
 def hinted_tree(node: int) -> int:
@@ -246,7 +285,7 @@ def style_trees(pages: DataFrame) -> DataFrame:
                 page = Page(source or "")
                 seen = set()
                 for text, top, nodes, _ in page.content():
-                    seen.add((top, tuple(nodes), xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1))
+                    seen.add((top, nodes, xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1))
                 for top, nodes, digest in seen:
                     for name, value in zip(out, (host, top, list(nodes), digest)):
                         out[name].append(value)
