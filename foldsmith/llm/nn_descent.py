@@ -56,8 +56,8 @@ def fold(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> Da
                     if not np.isfinite(v).all() or not v.any():
                         v = None
                 data.append(None if v is None else v.tobytes())
-                nodes.append(None if v is None else hashlib.blake2b(data[-1], digest_size=16, key=label.encode()[:64],
-                                                                    person=label.encode()[64:80]).digest())
+                nodes.append(None if v is None else hashlib.blake2b(
+                    data[-1], digest_size=16, key=hashlib.blake2b(label.encode()).digest()).digest())
             return {"id": batch.column("id"), "node": nodes, "label": batch.column("label"), "vec": data}
         return step
 

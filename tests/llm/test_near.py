@@ -168,3 +168,13 @@ def test_isolated_pairs_of_a_hot_label_are_found(spark):
     assert {got[r[0]] for r in rows if r[2] == "dense"} == {(1499, 20_000)}
     met = sum(got[k + 1][1] == k for k in range(0, len(hot), 2))
     assert met >= D.RECALL * len(one)
+
+
+def test_labels_that_agree_in_their_first_bytes_stay_apart(spark):
+    from foldsmith.llm import nn_descent as D
+
+    long = "x" * 100
+    rows = [(k, [1.0, float(k % 3), 2.0], long + "ab"[k % 2]) for k in range(24)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in D.near_components(df).collect()}
+    assert got == {k: (3, k % 6) for k in range(24)}
