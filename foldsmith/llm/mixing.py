@@ -122,21 +122,28 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 
 def repeat(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it, all columns kept."""
-    id_col, text_col, source_col = (options.get(f"{n}_col", d) for n, d in
+    """``docs`` with every row as often as the mix takes it, all columns kept, whatever they are named."""
+    names = docs.columns
+    place = {name: f"c{k}" for k, name in enumerate(names)}
+    id_col, text_col, source_col = (place[options.pop(f"{n}_col", d)] for n, d in
                                     (("id", "doc_id"), ("text", "text"), ("source", "source")))
+    if options.get("weight_col"):
+        options["weight_col"] = place[options["weight_col"]]
+    rows = docs.toDF(*place.values())
 
     def key(size: Column) -> Column:  # rows that agree here are interchangeable
         return F.to_json(F.struct(F.col(id_col).alias("i"), F.col(source_col).alias("s"), size.alias("n")))
 
-    per = materialize(mix(docs, **options).withColumn("_key", key(F.col("size"))).groupBy("_key").agg(
+    mixed = mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    per = materialize(mixed.withColumn("_key", key(F.col("size"))).groupBy("_key").agg(
         F.min("copies").alias("_least"), F.max("copies").alias("_most"), F.sum("copies").alias("_sum"),
         F.count("*").alias("_rows")).filter("_most > 0"), "mix-copies")
-    keyed = docs.withColumn("_key", key(word_count(F.col(text_col))))
+    keyed = rows.withColumn("_key", key(word_count(F.col(text_col))))
     even = keyed.join(per.filter("_least = _most"), "_key").withColumn("_copies", F.col("_least"))
     # the cut of a source may run through equal rows: the first of them get one more
     number = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
     more = F.col("_sum") - F.col("_least") * F.col("_rows")
     uneven = keyed.join(per.filter("_least <> _most"), "_key").withColumn("_copies", F.col("_least") + (number <= more).cast("long"))
-    taken = even.select(*docs.columns, "_copies").unionByName(uneven.select(*docs.columns, "_copies")).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    taken = even.select(*rows.columns, "_copies").unionByName(uneven.select(*rows.columns, "_copies")).filter("_copies > 0")
+    return (taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+            .select(*rows.columns).toDF(*names))

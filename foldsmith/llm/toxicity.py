@@ -287,8 +287,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``docs`` with a column ``score`` between 0 and 1 from the whole text; null and empty texts get that of no words.
 
     All other columns stay as they are, whatever they are named, but for one named ``score``, which is replaced.
+    An empty table stays empty.
     """
     docs = docs.drop("score")
+    return _scored(docs, model, text_col).toDF(*docs.columns, "score")
+
+
+def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``limit``, with their own columns, one named ``score`` included."""
+    kept = _scored(docs, model, text_col).filter(F.col("score") < limit)
+    return kept.drop("score").toDF(*docs.columns)
+
+
+def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """The columns of ``docs`` as c0, c1, ... and ``score``."""
     names, kinds = docs.columns, [f.dataType.simpleString() for f in docs.schema]
     at = names.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
@@ -304,4 +316,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return step
 
     ddl = ", ".join(f"c{k} {kind}" for k, kind in enumerate(kinds)) + ", score double"
-    return map_batches(spread(docs.toDF(*[f"c{k}" for k in range(len(names))])), make, ddl).toDF(*names, "score")
+    return map_batches(spread(docs.toDF(*[f"c{k}" for k in range(len(names))])), make, ddl)

@@ -216,3 +216,68 @@ def test_pipeline_stages(spark):
     first = Counter(r.doc_id for r in packed.filter("piece = 0").collect())
     assert first == ids
     assert not [r for r in kept.select("text").collect() if "@mail" in r.text]
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + " " * 2_000_000 + "b c", "\n" * 5_000_000, "x" + "\t " * 600_000 + "y  z"])
+def test_long_white_space_is_encoded_like_any_other(text):
+    plain = Tokenizer.from_file(TOKENIZER)
+    assert K.load_encoder(TOKENIZER)(text) == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_white_space_just_below_the_limit_of_the_split():
+    for n in (99_999, 100_000, 100_001):
+        text = "a" + " " * n + "b" + "c " * 10
+        assert K.load_encoder(TOKENIZER)(text) == Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
+
+
+def test_long_pages_of_open_elements_take_memory_and_time_in_proportion():
+    import time
+    import tracemalloc
+
+    took = []
+    for n in (20_000, 160_000):
+        tracemalloc.start()
+        start = time.perf_counter()
+        assert S.main_text("<div>x" * n) == " ".join("x" * n)
+        took.append((time.perf_counter() - start, tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+    assert took[1][1] < 500e6 and took[1][1] < 16 * took[0][1] and took[1][0] < 30 * took[0][0] + 1
+    assert S.main_text("<center>" * 20_000 + "<td>a</p></x>" * 20_000).count("a") == 20_000
+
+
+def test_pipeline_keeps_columns_whatever_they_are_named(spark):
+    from foldsmith.llm import mixing, toxicity
+
+    rows = [(k, f"some words number {k} of this text", "en", "s" if k % 3 else None, 30, 0.25, "k", 7, 8) for k in range(60)]
+    rows += [(None, None, None, None, None, None, None, None, None)] * 3 + [(5, "", "en", "s", 0, 1.0, "x", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, "
+                                       "_key string, _copies int, c0 int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    clean = toxicity.keep_clean(docs, model, limit=2.0)
+    assert clean.columns == docs.columns and sorted(map(str, clean.collect())) == sorted(map(str, docs.collect()))
+    assert toxicity.keep_clean(docs, model, limit=-1.0).count() == 0
+    assert toxicity.keep_clean(docs.limit(0), model).columns == docs.columns
+    taken = mixing.repeat(docs)
+    assert taken.columns == docs.columns and set(map(str, taken.collect())) <= set(map(str, docs.collect()))
+    copies = mixing.mix(docs).agg({"copies": "sum"}).first()[0]
+    assert taken.count() == copies > 0 and mixing.repeat(docs.limit(0)).count() == 0
+
+
+def test_every_stage_takes_nulls_empty_tables_and_extra_columns(spark, tmp_path):
+    words = "one two three four five six seven eight nine ten".split()
+    rnd = random.Random(8)
+    rows = [(k, " ".join(rnd.choice(words) for _ in range(40)), "en", "s", 1, "keep") for k in range(40)]
+    rows += [(k + 100, rows[k][1], "en", None, 1, None) for k in range(5)]
+    rows += [(None, None, None, None, None, None), (200, "", None, "t", 0, ""), (201, " " * 1_000_000, "en", "t", 1_000_000, "")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string"
+    spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(40)], "doc_id bigint, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            got = out.collect()
+            if name != "best_fit_packing":
+                assert out.columns == docs.columns, name
+            if name == "ngram_jaccard_join" and docs.count():
+                assert {r.doc_id for r in got} == {r[0] for r in rows} - {100, 101, 102, 103, 104}
