@@ -17,7 +17,7 @@ from foldsmith.session import materialize
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = toxic.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxic.score(docs, model).filter(F.col("score") < 0.5).select(*docs.columns)
+    return toxic.keep_clean(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
