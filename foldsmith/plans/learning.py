@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import ml
+from ..operators import many, ml
 from ..operators import textfeat as T
-from ..operators.splits import stratified_kfold
+from ..operators.curate import flag_siblings
+from ..operators.splits import sibling_variants, stratified_kfold
 from ..session import materialize
 from .registry import query
 
@@ -78,3 +79,29 @@ def benchmark_internal(t):
 def benchmark_aligned(t):
     rows = binary_vectors(t)
     return ml.benchmark_aligned(rows, rows.filter("id % 2 = 0"), {"SVM": {"maxIter": [10]}}, ["HoldoutCV"], folds=3, inner_folds=2)
+
+
+def vector_datasets(t):
+    """Four two-class datasets of vectors, with the rows that have an equal vector in their dataset flagged."""
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("d"), F.col("vec_id") % 4).alias("ds"),
+                               F.col("embedding").cast("array<double>").alias("features"), (F.col("label") < 5).cast("int").alias("label"))
+    signed = rows.withColumn("_sig", F.md5(F.to_json("features")))
+    return materialize(flag_siblings(signed, ["ds"], "_sig", "id").drop("_sig"), "vector-datasets")
+
+
+@query("i24_many_datasets")
+def many_datasets(t):
+    rows = vector_datasets(t)
+    outer = sibling_variants(rows, lambda kept: stratified_kfold(kept, ["ds"], "id", "label", 3))
+    keys = ["ds", "drop_siblings", "fold"]
+    parts = [many.fit_many(rows, outer, keys, ["ds"], algo, configs).withColumn("algo", F.lit(algo)) for algo, configs in
+             (("LINEAR", [{"reg": 0.01, "iterations": 10}, {"reg": 0.1}]), ("FOREST", [{"trees": 5, "depth": 3}]))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("i27_benchmark_datasets")
+def benchmark_datasets(t):
+    rows = vector_datasets(t)
+    outer = sibling_variants(rows, lambda kept: stratified_kfold(kept, ["ds"], "id", "label", 3))
+    grids = {"LINEAR": [{"reg": 0.01, "iterations": 10}, {"reg": 0.1}], "FOREST": [{"trees": 3, "depth": 2}, {"trees": 5, "depth": 3}]}
+    return many.benchmark_many(rows, outer, ["ds", "drop_siblings"], ["ds"], grids, list(ml.PIPELINES), inner_folds=2)
