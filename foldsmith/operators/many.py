@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..session import forget, materialize
 from . import metrics as M
-from .joins import join_dimension, join_group_stats
+from .joins import HOT_ROWS, HOT_SHARE, join_dimension, join_group_stats
 from .ml import METRICS
 from .report import most_frequent, nan_mean
 from .splits import nested_splits
@@ -35,7 +35,11 @@ POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011
 
 
 def place_units(rows: DataFrame, assignments: DataFrame, keys: Sequence[str], dataset: Sequence[str], row_id: str) -> DataFrame:
-    """(unit, keys, row_id, role, label, features, n): the rows of every unit that trains on two classes, stored once."""
+    """(unit, share, shares, keys, row_id, role, label, features, n_train): the rows of units that train on two classes.
+
+    The rows of a unit above 1/1000 of all rows (and ``HOT_ROWS``) are dealt to ``shares``, so that what is joined to them by
+    unit can be repeated as often and no task gets a unit whole.
+    """
     unit = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
     wide = join_dimension(assignments.select(*keys, row_id, "role"), rows.select(*dataset, row_id, "label", "features"),
                           [*dataset, row_id], list(keys))
@@ -45,11 +49,20 @@ def place_units(rows: DataFrame, assignments: DataFrame, keys: Sequence[str], da
     sizes = materialize(named.groupBy("unit").agg(
         F.count("*").alias("n"), F.count_if(train).alias("n_train"), F.min(F.when(train, F.col("label"))).alias("_low"),
         F.max(F.when(train, F.col("label"))).alias("_high")).filter("_low < _high").drop("_low", "_high"), "unit-sizes")
-    return join_group_stats(named, sizes, ["unit"], [row_id])
+    share = max((sizes.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE, HOT_ROWS)
+    sizes = materialize(sizes.withColumn("shares", F.ceil(F.col("n") / share).cast("int")), "unit-shares")
+    return join_group_stats(named, sizes, ["unit"], [row_id]).drop("n").withColumn(
+        "share", F.pmod(F.xxhash64(row_id), F.col("shares")).cast("int"))
+
+
+def join_units(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """``rows`` (unit, share, ...) with the columns of their unit's row in ``models`` (unit, shares, ...)."""
+    copies = models.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    return rows.drop("shares").join(copies, ["unit", "share"])
 
 
 def linear_models(placed: DataFrame, configs: Sequence[dict], row_id: str) -> DataFrame:
-    """(unit, n, w): logistic weights of every unit, an array per configuration, the intercept last.
+    """(unit, shares, w): logistic weights of every unit, an array per configuration, the intercept last.
 
     The loss is the mean log loss plus ``reg`` / 2 times the squared weights of the standardized features, brought down
     by ``iterations`` accelerated gradient steps (of the first configuration); the step follows from a bound on the
@@ -58,9 +71,9 @@ def linear_models(placed: DataFrame, configs: Sequence[dict], row_id: str) -> Da
     train = placed.filter("role = 'train'")
     regs, steps = [float(c.get("reg", 0.01)) for c in configs], int(configs[0].get("iterations", 25))
     vector = array_to_vector("features")
-    stats = train.groupBy("unit").agg(F.max("n").alias("n"), F.max("n_train").alias("n_train"),
+    stats = train.groupBy("unit").agg(F.max("shares").alias("shares"), F.max("n_train").alias("n_train"),
                                       Summarizer.metrics("mean", "std").summary(vector).alias("s"))
-    state = materialize(stats.select("unit", "n", "n_train", vector_to_array("s.mean").alias("mean"), vector_to_array("s.std").alias("std"),
+    state = materialize(stats.select("unit", "shares", "n_train", vector_to_array("s.mean").alias("mean"), vector_to_array("s.std").alias("std"),
                                      F.array(*[F.transform(vector_to_array("s.mean"), lambda x: x * 0.0) for _ in regs]).alias("w"),
                                      F.array(*[F.lit(0.0) for _ in regs]).alias("b")), "linear-start")
     state = materialize(state.select("*", F.col("w").alias("v"), F.col("b").alias("vb"),
@@ -86,10 +99,10 @@ def linear_models(placed: DataFrame, configs: Sequence[dict], row_id: str) -> Da
                     vb.append(new_b + speed * (new_b - r["b"][c]))
                 out = {"w": w, "b": b, "v": v, "vb": vb, "rw": [x * scale for x in v],
                        "rb": [i - float((x * scale) @ mean) for x, i in zip(v, vb)]}
-                yield pd.DataFrame([{k: r[k] for k in ("unit", "n", "n_train", "mean", "std")} | out])[schema.names]
+                yield pd.DataFrame([{k: r[k] for k in ("unit", "shares", "n_train", "mean", "std")} | out])[schema.names]
 
     for step in range(steps):
-        joined = join_group_stats(train.drop("n", "n_train"), state.select("unit", "n", "rw", "rb"), ["unit"], [row_id])
+        joined = join_units(train, state.select("unit", "shares", "rw", "rb"))
         rest = [(V.sigmoid(V.dot(F.col("features"), F.col("rw")[c]) + F.col("rb")[c]) - F.col("label")).alias(f"e{c}")
                 for c in range(len(regs))]
         sums = joined.select("unit", vector.alias("x"), *rest).groupBy("unit").agg(
@@ -102,12 +115,12 @@ def linear_models(placed: DataFrame, configs: Sequence[dict], row_id: str) -> Da
     scale = F.transform("std", lambda s: F.when(s > 0, 1.0 / s).otherwise(0.0))
     raw = F.transform("w", lambda w: F.zip_with(w, scale, lambda x, s: x * s))
     shift = F.transform(F.arrays_zip(raw.alias("w"), F.col("b").alias("b")), lambda z: z["b"] - V.dot(z["w"], F.col("mean")))
-    return state.select("unit", "n", F.zip_with(raw, shift, lambda w, b: F.concat(w, F.array(b))).alias("w"))
+    return state.select("unit", "shares", F.zip_with(raw, shift, lambda w, b: F.concat(w, F.array(b))).alias("w"))
 
 
 def predict_linear(placed: DataFrame, models: DataFrame, configs: Sequence[dict], row_id: str) -> DataFrame:
     """(unit, row_id, probabilities) of the test rows, a probability per configuration."""
-    joined = join_group_stats(placed.filter("role = 'test'").drop("n"), models, ["unit"], [row_id])
+    joined = join_units(placed.filter("role = 'test'"), models)
     ones = F.concat("features", F.array(F.lit(1.0)))
     return joined.select("unit", row_id, F.transform("w", lambda w: V.sigmoid(V.dot(ones, w))).alias("probabilities"))
 
@@ -115,13 +128,13 @@ def predict_linear(placed: DataFrame, models: DataFrame, configs: Sequence[dict]
 def _binned(placed: DataFrame, row_id: str, bins: int) -> DataFrame:
     """Features as bin numbers, cut at quantiles of the unit's training rows."""
     shares = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    cells = placed.filter("role = 'train'").select("unit", "n", F.posexplode("features").alias("f", "x"))
-    cuts = cells.groupBy("unit", "f").agg(F.max("n").alias("n"), F.array_distinct(F.percentile_approx("x", shares, F.lit(1000))).alias("cuts"))
-    per = materialize(cuts.groupBy("unit").agg(F.max("n").alias("n"), F.transform(  # a row per feature
+    cells = placed.filter("role = 'train'").select("unit", "shares", F.posexplode("features").alias("f", "x"))
+    cuts = cells.groupBy("unit", "f").agg(F.max("shares").alias("shares"), F.array_distinct(F.percentile_approx("x", shares, F.lit(1000))).alias("cuts"))
+    per = materialize(cuts.groupBy("unit").agg(F.max("shares").alias("shares"), F.transform(  # a row per feature
         F.array_sort(F.collect_list(F.struct("f", "cuts"))), lambda s: s["cuts"]).alias("cuts")), "forest-cuts")
-    joined = join_group_stats(placed.drop("n"), per, ["unit"], [row_id])
+    joined = join_units(placed.withColumn("_shares", F.col("shares")), per).withColumnRenamed("_shares", "shares")
     binned = F.zip_with("features", "cuts", lambda x, cut: F.size(F.filter(cut, lambda c: c < x)))
-    return materialize(joined.select("unit", row_id, "role", "label", "n", binned.alias("bins")), "forest-bins")
+    return materialize(joined.select("unit", "share", "shares", row_id, "role", "label", binned.alias("bins")), "forest-bins")
 
 
 def _route(trees: int, levels: int) -> Column:
@@ -140,20 +153,20 @@ def _route(trees: int, levels: int) -> Column:
 
 def forests(binned: DataFrame, row_id: str, trees: int, depth: int, features: int | None, bootstrap: bool = True,
             seed: int = 42) -> DataFrame:
-    """(unit, n, splits, shares): for every unit the splits of ``trees`` trees and the share of positives of each node.
+    """(unit, shares, splits, leaves): for every unit the splits of ``trees`` trees and the share of positives of each node.
 
     Each tree weighs rows by a seeded Poisson count, each node looks at ``features`` seeded features (None: all), and
     splits where the Gini impurity falls most; ties go to the lowest feature, then bin.
     """
-    units = binned.groupBy("unit").agg(F.max("n").alias("n"), F.max(F.size("bins")).alias("d"))
+    units = binned.groupBy("unit").agg(F.max("shares").alias("shares"), F.max(F.size("bins")).alias("d"))
     empty_s, empty_p = "map<int,struct<f:int,bin:int>>", "map<int,double>"
-    model = materialize(units.select("unit", "n", "d", F.create_map().cast(empty_s).alias("splits"),
-                                     F.create_map().cast(empty_p).alias("shares")), "forest-0")
+    model = materialize(units.select("unit", "shares", "d", F.create_map().cast(empty_s).alias("splits"),
+                                     F.create_map().cast(empty_p).alias("leaves")), "forest-0")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("tree"), F.col(row_id)), F.lit(1 << 24)) / float(1 << 24)
     weight = sum(((draw >= p).cast("int") for p in POISSON), F.lit(0)) if bootstrap else F.lit(1)
-    train = binned.filter("role = 'train'").drop("n")
+    train = binned.filter("role = 'train'")
     for level in range(depth + 1):
-        joined = join_group_stats(train, model.select("unit", "n", "d", "splits"), ["unit"], [row_id])
+        joined = join_units(train, model.select("unit", "shares", "d", "splits"))
         at = joined.select("unit", row_id, "label", "bins", "d", F.posexplode(_route(trees, level)).alias("tree", "node")).filter(
             F.col("node") >= (1 << level) - 1)  # others ended above
         at = at.withColumn("w", weight).filter("w > 0")
@@ -183,11 +196,11 @@ def forests(binned: DataFrame, row_id: str, trees: int, depth: int, features: in
             totals = totals.withColumn("split", F.lit(None).cast("struct<f:int,bin:int>"))
         key = (F.col("tree") * NODES + F.col("node")).cast("int")
         added = totals.select("unit", key.alias("key"), (F.col("all_pos") / F.col("all")).alias("share"), "split").groupBy("unit").agg(
-            F.map_from_entries(F.collect_list(F.struct("key", "share"))).alias("more_shares"),  # of one level of the unit's trees
+            F.map_from_entries(F.collect_list(F.struct("key", "share"))).alias("more_leaves"),  # of one level of the unit's trees
             F.map_from_entries(F.collect_list(F.when(F.col("split").isNotNull(), F.struct("key", "split")))).alias("more_splits"))
         grown = model.join(added, "unit", "left").select(
-            "unit", "n", "d", F.map_concat("splits", F.coalesce(F.col("more_splits"), F.create_map().cast(empty_s))).alias("splits"),
-            F.map_concat("shares", F.coalesce(F.col("more_shares"), F.create_map().cast(empty_p))).alias("shares"))
+            "unit", "shares", "d", F.map_concat("splits", F.coalesce(F.col("more_splits"), F.create_map().cast(empty_s))).alias("splits"),
+            F.map_concat("leaves", F.coalesce(F.col("more_leaves"), F.create_map().cast(empty_p))).alias("leaves"))
         model, old = materialize(grown, f"forest-{level + 1}"), model
         forget(old)
     return model.drop("d")
@@ -199,7 +212,7 @@ def predict_forests(binned: DataFrame, models: DataFrame, configs: Sequence[dict
     A node that no drawn training row reached counts as the last one above it that had some.
     """
     def known(tree: Column, node: Column) -> Column:
-        share = lambda x: F.try_element_at("shares", tree * NODES + x)
+        share = lambda x: F.try_element_at("leaves", tree * NODES + x)
         above = lambda x: F.floor((x - 1) / 2).cast("int")
         return F.coalesce(share(node), share(above(node)), share(above(above(node))), share(F.lit(0)), F.lit(0.5))
 
@@ -207,7 +220,7 @@ def predict_forests(binned: DataFrame, models: DataFrame, configs: Sequence[dict
         trees, depth = int(config.get("trees", 10)), int(config.get("depth", 4))
         return V.total(F.transform(_route(trees, depth), lambda node, tree: known(tree, node))) / float(trees)
 
-    joined = join_group_stats(binned.filter("role = 'test'").drop("n"), models, ["unit"], [row_id])
+    joined = join_units(binned.filter("role = 'test'"), models)
     return joined.select("unit", row_id, F.array(*[mean(c) for c in configs]).alias("probabilities"))
 
 

@@ -103,5 +103,5 @@ def many_datasets(t):
 def benchmark_datasets(t):
     rows = vector_datasets(t)
     outer = sibling_variants(rows, lambda kept: stratified_kfold(kept, ["ds"], "id", "label", 3))
-    grids = {"LINEAR": [{"reg": 0.01, "iterations": 10}, {"reg": 0.1}], "FOREST": [{"trees": 3, "depth": 2}, {"trees": 5, "depth": 3}]}
+    grids = {"LINEAR": [{"reg": 0.01, "iterations": 6}, {"reg": 0.1}], "FOREST": [{"trees": 2, "depth": 1}, {"trees": 4, "depth": 2}]}
     return many.benchmark_many(rows, outer, ["ds", "drop_siblings"], ["ds"], grids, list(ml.PIPELINES), inner_folds=2)
