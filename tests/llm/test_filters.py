@@ -186,6 +186,45 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert M.mix(docs.limit(0)).count() == 0
 
 
+def plain_rates(docs, target, most=2.0):
+    """Expected copies in proportion to weight, none above ``most``, that make up the target: full ones set aside by turns."""
+    full = set()
+    while True:
+        rest = target - most * sum(docs[i][0] for i in full)
+        rate = rest / sum(n * w for i, (n, w) in enumerate(docs) if i not in full)
+        over = {i for i, (_, w) in enumerate(docs) if i not in full and rate * w > most}
+        if not over:
+            return [most if i in full else rate * w for i, (_, w) in enumerate(docs)]
+        full |= over
+
+
+@pytest.mark.parametrize("share", [0.4, 1.3])
+def test_documents_are_included_as_often_as_their_odds_say(spark, share):
+    rnd = random.Random(11)
+    shape = [(rnd.choice([1, 3, 9, 40, 130]), rnd.choice([0.5, 1.0, 2.0, 7.0])) for _ in range(40)]
+    sources = 300  # each a draw of its own of the same documents
+    rows = [(s * 40 + i, " ".join(["w"] * n), f"s{s:03d}", w, "own") for s in range(sources) for i, (n, w) in enumerate(shape)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, odds double, u string")
+    for column, weights in (("odds", [w for _, w in shape]), (None, [len(bin(n)) - 2 for n, _ in shape])):
+        got = M.mix(docs, weights=(1,), share=share, weight_col=column).collect()
+        want = plain_rates([(n, w) for (n, _), w in zip(shape, weights)], share * sum(n for n, _ in shape))
+        assert len({round(x % 1, 6) for x in want}) > 2  # unequal odds
+        mean, taken = [0.0] * 40, Counter()
+        for r in got:
+            assert int(want[r.doc_id % 40] + 1e-9) <= r.copies <= -int(-want[r.doc_id % 40] // 1)
+            mean[r.doc_id % 40] += r.copies / sources
+            taken[r.source] += r.copies * r.size
+        assert all(abs(taken[s] - share * sum(n for n, _ in shape)) <= 65 for s in taken)
+        assert max(abs(a - b) for a, b in zip(mean, want)) < 0.13
+
+
+def test_mix_weights_that_say_nothing(spark):
+    rows = [(1, "a b", "s", None), (2, "a b", "s", -1.0), (3, "a b", "s", float("nan")), (4, "a b", "s", float("inf")),
+            (5, "a b", "s", 1.0), (6, "", "t", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, odds double")
+    assert {r.doc_id: r.copies for r in M.mix(docs, weight_col="odds").collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 2, 6: 0}
+
+
 def test_toxicity_on_held_out_rows_and_misspellings(spark):
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice(["an", "the", "re", "on", "ti", "es"]) for _ in range(rnd.randint(1, 4)))
