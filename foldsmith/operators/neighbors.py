@@ -21,101 +21,258 @@ from .joins import join_dimension, join_group_stats
 from .rank import distributed_rank, seeded_order
 
 BLOCK = 2048
-PIVOTS = 64
+#: Bytes of pivots sent to every task; a base too large for the square root of its rows gets larger cells.
+PIVOT_BYTES = 32 << 20
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(np.float64)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, taken from differences so that equal vectors are exactly 0 apart."""
-    out = np.empty((len(a), len(b)))
-    for i, row in enumerate(a):
-        diff = b - row
-        out[i] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distance row by row, from differences, so that equal vectors are exactly 0 apart."""
+    out = np.empty(len(a))
+    for at in range(0, len(a), 1 << 15):
+        gap = a[at:at + (1 << 15)] - b[at:at + (1 << 15)]
+        out[at:at + (1 << 15)] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
     return out
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and per row of ``a`` a bound on their rounding error."""
+    shift = b.mean(axis=0)
+    a, b = a - shift, b - shift
+    na, nb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    return na[:, None] + nb - 2 * (a @ b.T), 4e-16 * (a.shape[1] + 8) * (na + nb.max())
+
+
+def _between(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of all distances."""
+    squares, error = _squares(a, b)
+    return np.sqrt(np.maximum(squares - error[:, None], 0)), np.sqrt(np.maximum(squares, 0) + error[:, None])
+
+
+class _Tree:
+    """Two levels of pivots, each about the square root of the level below.
+
+    A vector lies in the leaf of the nearest pivot below its nearest top pivot.  Once the leaves' extents are known,
+    the triangle inequality tells which leaves can hold anything within a distance of a query: first whole tops are
+    ruled out, then leaves of the tops that remain.
+    """
+
+    def __init__(self, pivots: np.ndarray):
+        self.tops = pivots[:max(1, math.isqrt(len(pivots)))]
+        owner = _between(pivots, self.tops)[1].argmin(axis=1)
+        order = np.argsort(owner, kind="stable")
+        self.leaves = pivots[order]
+        self.first = np.searchsorted(owner[order], np.arange(len(self.tops) + 1))
+        self.tops_used = np.flatnonzero(np.diff(self.first))
+        self.count = np.zeros(len(pivots), dtype=np.int64)
+        self.near, self.radius = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each vector and its distance from the leaf's pivot."""
+        leaf = np.empty(len(x), dtype=np.int64)
+        top = self.tops_used[_squares(x, self.tops[self.tops_used])[0].argmin(axis=1)]
+        for t in np.unique(top):
+            rows = np.flatnonzero(top == t)
+            low, high = self.first[t], self.first[t + 1]
+            leaf[rows] = low + _squares(x[rows], self.leaves[low:high])[0].argmin(axis=1)
+        return leaf, _exact(x, self.leaves[leaf])
+
+    def measure(self, leaf, count, near, radius) -> None:
+        """Extents of the leaves that hold vectors, and from them those of the tops."""
+        self.count[leaf], self.near[leaf], self.radius[leaf] = count, near, radius
+        self.reach = np.full(len(self.tops), -np.inf)
+        for t in self.tops_used:
+            own = slice(self.first[t], self.first[t + 1])
+            self.reach[t] = (_between(self.tops[t:t + 1], self.leaves[own])[1][0] + self.radius[own]).max()
+        # a host is what a query is sent to: small leaves of one top together, or a leaf in as many blocks as it fills
+        self.host = np.empty(len(self.leaves), dtype=np.int64)
+        hosts = 0
+        for t in self.tops_used:
+            load = 0
+            for c in range(self.first[t], self.first[t + 1]):
+                if load and load + self.count[c] > BLOCK:
+                    hosts, load = hosts + 1, 0
+                self.host[c] = hosts
+                load += self.count[c]
+            hosts += 1
+        self.blocks = np.maximum(-(-np.bincount(self.host, self.count, hosts).astype(np.int64) // BLOCK), 1)
+
+    def bound(self, x: np.ndarray, need: int) -> np.ndarray:
+        """The ``need``-th nearest pivot among the tops, which are base vectors: no more than that is to be searched."""
+        if need > len(self.tops):
+            return np.full(len(x), np.inf)
+        return np.partition(_between(x, self.tops)[1], need - 1, axis=1)[:, need - 1]
+
+    def open(self, x: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of every leaf that can hold a vector within ``limit`` of the row."""
+        limit = limit * (1 + 1e-9) + 1e-300
+        rows, leaves = [], []
+        least = _between(x, self.tops)[0]
+        for t in self.tops_used:
+            hit = np.flatnonzero(least[:, t] - self.reach[t] <= limit)
+            if not len(hit):
+                continue
+            low, high = self.first[t], self.first[t + 1]
+            under, over = _between(x[hit], self.leaves[low:high])
+            gap = np.maximum(under - self.radius[low:high], self.near[low:high] - over)
+            at, leaf = np.nonzero((gap <= limit[hit][:, None]) & (self.count[low:high] > 0))
+            rows.append(hit[at])
+            leaves.append(low + leaf)
+        return np.concatenate(rows or [np.array([], dtype=int)]), np.concatenate(leaves or [np.array([], dtype=int)])
+
+
+def _closest(left: pd.DataFrame, right: pd.DataFrame, need: int, limit: np.ndarray) -> pd.DataFrame:
+    """(at, nid, distance): for every row of ``left`` its ``need`` nearest by (distance, id), none beyond ``limit``.
+
+    A row of ``right`` is a vector and the lowest ids that have it.  Candidates come from a matrix product with an error
+    bound; only they are measured by differences.
+    """
+    a, b = _matrix(left["vec"]), _matrix(right["vec"])
+    squares, error = _squares(a, b)
+    kth = np.partition(squares, min(need, len(b)) - 1, axis=1)[:, min(need, len(b)) - 1]
+    top = np.minimum(kth + 2 * error, np.square(limit * (1 + 1e-9)) + error)
+    at, other = np.nonzero(squares <= top[:, None])
+    ids = right["ids"].to_numpy()
+    many = np.array([len(i) for i in ids])[other]
+    found = pd.DataFrame({"at": np.repeat(at, many), "distance": np.repeat(_exact(a[at], b[other]), many)})
+    found["nid"] = np.concatenate([ids[j] for j in other]) if len(other) else right["ids"].explode()[:0]
+    found = found[np.isfinite(found["distance"])].sort_values(["at", "distance", "nid"], kind="stable")
+    return found[found.groupby("at").cumcount() < need]
+
+
+def _distinct_vectors(rows: DataFrame, row_id: str, vector: str) -> DataFrame:
+    """(id, vec) of the rows whose vector is whole and finite."""
+    cells = F.col(vector).cast("array<double>")
+    fit = F.forall(cells, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return rows.select(F.col(row_id).alias("id"), cells.alias("vec")).filter(F.col("vec").isNotNull() & fit)
+
+
 def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str = "id", base_id: str = "id", vector: str = "vec",
              skip_self: bool = False) -> DataFrame:
     """Exact ``k`` nearest base vectors of each query: (query_id, neighbor_id, distance, rank), ties by id.
 
-    Base vectors are grouped by their nearest of ``PIVOTS`` fixed pivots.  From each group's radius and its ``k``
-    closest members a query gets an upper bound on its k-th distance, and by the triangle inequality visits only
-    the groups that can hold anything nearer.  Groups and queries are cut in blocks of ``BLOCK`` vectors.
+    Equal vectors are searched once and stand for their lowest ids.  The base lies in a two-level tree of pivots, as many
+    as the square root of its vectors, its leaves cut in blocks of ``BLOCK``.  Phase one measures each query against
+    one block of its own leaf, which bounds its k-th distance; phase two visits the other blocks that this bound and the
+    triangle inequality leave open.  Blocks meet as numpy matrices and return at most ``k`` rows a query; a block is
+    copied once per ``BLOCK`` of its visitors.  Vectors that are missing or not finite have no neighbours and are none's.
     """
+    spark = base.sparkSession
     need = k + (1 if skip_self else 0)
-    chosen = (base.select(base_id, vector).orderBy(seeded_order("pivot", base_id)).limit(PIVOTS).collect())
-    if not chosen:
+    kind, qkind = base.schema[base_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    members, asked = _distinct_vectors(base, base_id, vector), _distinct_vectors(queries, query_id, vector)
+    lowest = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    # the limit on the row number cuts the copies of a vector before they are shuffled
+    stored = materialize(members.withColumn("_r", lowest).filter(F.col("_r") <= need).groupBy("vec").agg(
+        F.sort_array(F.collect_list("id")).alias("ids")), "knn-base")
+    shape = stored.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    if not shape["n"]:
         raise ValueError("the base has no vectors")
-    pivots = np.array([r[vector] for r in chosen], dtype=np.float64)
+    pivots = max(1, min(math.isqrt(shape["n"]), PIVOT_BYTES // (8 * max(shape["dim"], 1))))
+    chosen = stored.orderBy(seeded_order("pivot", F.col("ids")[0])).select("vec").limit(pivots).collect()
+    tree = _Tree(np.array([r["vec"] for r in chosen], dtype=np.float64))
+    planted = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            far = _distances(_matrix(pdf["vec"]), pivots)
-            cell = far.argmin(axis=1)
-            yield pdf.assign(cell=cell.astype("int32"), far=far[np.arange(len(cell)), cell])
-
-    kind = base.schema[base_id].dataType.simpleString()
-    named = base.select(F.col(base_id).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
-    placed = materialize(named.mapInPandas(place, f"id {kind}, vec array<double>, cell int, far double"), "knn-cells")
-    # at most PIVOTS rows, and PIVOTS * need rows
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()
-    nearest = Window.partitionBy("cell").orderBy("far", "id")
-    close = (placed.select("cell", "id", "far").withColumn("_r", F.row_number().over(nearest))
-             .filter(F.col("_r") <= need).select("cell", "far").collect())
-    cells = np.array([s["cell"] for s in stats])
-    radius = np.array([s["radius"] for s in stats])
-    blocks = np.array([math.ceil(s["n"] / BLOCK) for s in stats])
-    members = [np.array([c["far"] for c in close if c["cell"] == cell]) for cell in cells]
-    query_blocks = max(1, math.ceil(queries.count() / BLOCK))
+            if len(pdf):
+                leaf, far = planted.value.place(_matrix(pdf["vec"]))
+                yield pdf.assign(cell=leaf, far=far)
+
+    placed = materialize(stored.withColumn("h", F.xxhash64(F.col("ids")[0])).mapInPandas(
+        place, f"vec array<double>, ids array<{kind}>, h long, cell long, far double"), "knn-cells")
+    alike = asked.groupBy("vec").agg(F.min("id").alias("qid"), F.count("*").alias("n")).withColumn("h", F.xxhash64("qid"))
+    seekers = materialize(alike.mapInPandas(
+        place, f"vec array<double>, qid {qkind}, n long, h long, cell long, far double"), "knn-queries")
+    # one row a leaf: the pivots' number bounds both
+    extents = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).collect()
+    tree.measure(*(np.array([r[c] for r in extents]) for c in ("cell", "n", "near", "far")))
+    crowd = np.zeros(len(tree.blocks), dtype=np.int64)
+    for r in seekers.groupBy("cell").count().collect():
+        crowd[tree.host[r["cell"]]] += r["count"]
+    shares = np.maximum(-(-crowd // (BLOCK * tree.blocks)), 1)
+    measured = spark.sparkContext.broadcast((tree, shares))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grown, parts = measured.value
+        for pdf in batches:
+            host, h = grown.host[pdf["cell"].to_numpy()], pdf["h"].to_numpy()
+            yield pdf.assign(cell=host, bb=h % grown.blocks[host], qb=h // grown.blocks[host] % parts[host])
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner = np.concatenate([np.full(len(m), i) for i, m in enumerate(members)])
-        reach = np.concatenate(members)
+    def repeat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grown, parts = measured.value
         for pdf in batches:
-            far = _distances(_matrix(pdf["vec"]), pivots[cells])
-            bounds = far[:, owner] + reach
-            kth = min(need, bounds.shape[1]) - 1
-            limit = np.partition(bounds, kth, axis=1)[:, kth]
-            hit_q, hit_c = np.nonzero(far - radius <= (limit * (1 + 1e-12))[:, None])
-            rep = blocks[hit_c]
-            rows = pdf.iloc[np.repeat(hit_q, rep)]
-            block = np.concatenate([np.arange(b) for b in rep]) if len(rep) else np.array([], dtype=int)
-            yield rows.assign(cell=np.repeat(cells[hit_c], rep).astype("int32"), bb=block.astype("int32"))
-
-    qkind = queries.schema[query_id].dataType.simpleString()
-    asked = queries.select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("vec"),
-                           F.pmod(F.xxhash64(query_id), F.lit(query_blocks)).cast("int").alias("qb"))
-    routed = asked.mapInPandas(visit, f"qid {qkind}, vec array<double>, qb int, cell int, bb int")
-    per_cell = F.create_map(*[F.lit(int(x)) for pair in zip(cells, blocks) for x in pair])
-    blocked = placed.withColumn("bb", F.pmod(F.xxhash64("id"), per_cell[F.col("cell")]).cast("int"))
-    # a base block goes only where some query block visits its group
-    visits = routed.select(F.col("cell").alias("_c"), F.col("bb").alias("_b"), F.col("qb").alias("_q")).distinct()
-    sided = (blocked.join(visits, (F.col("cell") == F.col("_c")) & (F.col("bb") == F.col("_b")))
-             .select("id", "vec", "cell", "bb", F.col("_q").alias("qb")))
-
-    def nearest_in_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"qid": left["qid"][:0], "nid": right["id"][:0], "distance": np.array([], dtype=float)})
-        right = right.sort_values("id")
-        far = _distances(_matrix(left["vec"]), _matrix(right["vec"]))
-        if skip_self:
-            far[left["qid"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]] = np.inf
-        take = min(k, far.shape[1])
-        order = np.argsort(far, axis=1, kind="stable")[:, :take]
-        best = np.take_along_axis(far, order, axis=1)
-        out = pd.DataFrame({"qid": np.repeat(left["qid"].to_numpy(), take), "nid": right["id"].to_numpy()[order].ravel(),
-                            "distance": best.ravel()})
-        return out[np.isfinite(out["distance"])]
+            host = grown.host[pdf["cell"].to_numpy()]
+            rows = pdf.assign(cell=host, bb=pdf["h"].to_numpy() % grown.blocks[host])
+            each = parts[host]
+            out = rows.iloc[np.repeat(np.arange(len(rows)), each)]
+            yield out.assign(qb=np.arange(len(out)) - np.repeat(np.cumsum(each) - each, each))
 
     keys = ["cell", "bb", "qb"]
-    partial = (routed.groupBy(*keys).cogroup(sided.select("id", "vec", *keys).groupBy(*keys))
-               .applyInPandas(nearest_in_block, f"qid {qkind}, nid {kind}, distance double"))
-    best = Window.partitionBy("qid").orderBy("distance", "nid")
-    return (partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-            .select(F.col("qid").alias("query_id"), F.col("nid").alias("neighbor_id"), "distance", "rank"))
+    first_base = placed.drop("far").mapInPandas(repeat, f"vec array<double>, ids array<{kind}>, h long, cell long, bb long, qb long")
+    dealt = seekers.select("qid", "vec", "h", "cell").mapInPandas(
+        deal, f"qid {qkind}, vec array<double>, h long, cell long, bb long, qb long")
+
+    def own_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.reset_index(drop=True)
+        if left.empty:
+            return left[["qid", "vec", "h", "cell", "bb"]].assign(limit=np.array([], dtype=float), found=pd.Series([], dtype=object))
+        limit = measured.value[0].bound(_matrix(left["vec"]), need)
+        found = [[] for _ in range(len(left))]
+        if len(right):
+            best = _closest(left, right, need, np.full(len(left), np.inf))
+            for at, far, nid in zip(best["at"].tolist(), best["distance"].tolist(), best["nid"].tolist()):
+                found[at].append({"distance": far, "nid": nid})  # nearest first
+                if len(found[at]) == need:
+                    limit[at] = min(limit[at], far)
+        return left[["qid", "vec", "h", "cell", "bb"]].assign(limit=limit, found=found)
+
+    pair = f"struct<distance: double, nid: {kind}>"
+    bounded = materialize(dealt.groupBy(*keys).cogroup(first_base.groupBy(*keys)).applyInPandas(
+        own_block, f"qid {qkind}, vec array<double>, h long, cell long, bb long, limit double, found array<{pair}>"), "knn-bounds")
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grown = measured.value[0]
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            row, leaf = grown.open(_matrix(pdf["vec"]), pdf["limit"].to_numpy())
+            row, host = np.unique(np.stack([row, grown.host[leaf]]), axis=1)
+            each = grown.blocks[host]
+            row, host = np.repeat(row, each), np.repeat(host, each)
+            block = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+            seen = (host == pdf["cell"].to_numpy()[row]) & (block == pdf["bb"].to_numpy()[row])
+            yield pdf[["qid", "vec", "h", "limit"]].iloc[row[~seen]].assign(cell=host[~seen], bb=block[~seen])
+
+    routed = materialize(bounded.select("qid", "vec", "h", "limit", "cell", "bb").mapInPandas(
+        visit, f"qid {qkind}, vec array<double>, h long, limit double, cell long, bb long"), "knn-visits")
+    guests = materialize(routed.groupBy("cell", "bb").agg(F.count("*").alias("n"))
+                         .withColumn("parts", F.ceil(F.col("n") / BLOCK)), "knn-guests")
+    blocked = placed.drop("far").mapInPandas(deal, f"vec array<double>, ids array<{kind}>, h long, cell long, bb long, qb long").drop("qb")
+    hosts = (blocked.join(guests.drop("n"), ["cell", "bb"])
+             .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts", "h"))
+    going = join_group_stats(routed, guests, ["cell", "bb"], ["qid"]).withColumn("qb", F.pmod("h", "parts")).drop("n", "parts", "h")
+
+    def other_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"qid": left["qid"][:0], "distance": np.array([], dtype=float), "nid": right["ids"].explode()[:0]})
+        best = _closest(left, right, need, left["limit"].to_numpy())
+        return pd.DataFrame({"qid": left["qid"].to_numpy()[best["at"]], "distance": best["distance"].to_numpy(), "nid": best["nid"].to_numpy()})
+
+    further = going.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInPandas(other_block, f"qid {qkind}, distance double, nid {kind}")
+    every = bounded.select("qid", F.inline("found")).unionByName(further)
+    best = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "nid"))
+    answers = (every.withColumn("_r", best).filter(F.col("_r") <= need).groupBy("qid")
+               .agg(F.sort_array(F.collect_list(F.struct("distance", "nid"))).alias("found")))
+    answers = materialize(seekers.select("qid", "vec", "n").join(answers, "qid").drop("qid"), "knn-answers")
+    told = join_group_stats(asked, answers, ["vec"], ["id"])
+    others = F.filter("found", lambda f: f["nid"] != F.col("id")) if skip_self else F.col("found")
+    return (told.select(F.col("id").alias("query_id"), F.posexplode(F.slice(others, 1, k)).alias("_p", "_f"))
+            .select("query_id", F.col("_f.nid").alias("neighbor_id"), F.col("_f.distance").alias("distance"),
+                    (F.col("_p") + 1).alias("rank")))
 
 
 def assign_nearest(orphans: DataFrame, members: DataFrame, cluster: str, row_id: str = "id", vector: str = "vec") -> DataFrame:

@@ -25,5 +25,4 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(joins, "HOT_ROWS", 3)
     monkeypatch.setattr(similarity, "BLOCK", 3)
     monkeypatch.setattr(neighbors, "BLOCK", 7)
-    monkeypatch.setattr(neighbors, "PIVOTS", 4)
     monkeypatch.setattr(rank, "ROWS_PER_BUCKET", 2)

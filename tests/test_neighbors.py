@@ -36,6 +36,42 @@ def test_neighbors_equal_all_pairs(spark, small_blocks, k, own):
         np.testing.assert_allclose([m[2] for m in mine], far[order], atol=1e-12)
 
 
+def test_tree_visits_little_beyond_the_own_leaf():
+    rng = np.random.default_rng(4)
+    share = {}
+    for n in (2_000, 18_000):
+        x = np.concatenate([rng.normal(c, 0.2, (n // 40, 6)) for c in rng.uniform(-20, 20, (40, 6))])
+        tree = N._Tree(x[rng.permutation(len(x))[:math.isqrt(len(x))]])
+        leaf, far = tree.place(x)
+        own = [np.flatnonzero(leaf == c) for c in range(len(tree.leaves))]
+        held = [c for c in range(len(own)) if len(own[c])]
+        tree.measure(held, [len(own[c]) for c in held], [far[own[c]].min() for c in held], [far[own[c]].max() for c in held])
+        asked = x[::50]
+        exact = np.sqrt(((asked[:, None] - x[None]) ** 2).sum(axis=2))
+        limit = np.sort(exact, axis=1)[:, 4]
+        row, cell = tree.open(asked, limit)
+        seen = [np.zeros(len(x), dtype=bool) for _ in asked]
+        for r, c in zip(row, cell):
+            seen[r][own[c]] = True
+        assert all(seen[r][exact[r] <= limit[r]].all() for r in range(len(asked)))  # no neighbour is missed
+        share[n] = np.mean([m.mean() for m in seen])
+    assert share[18_000] < 0.06 and share[18_000] <= share[2_000]
+
+
+def test_copies_and_vectors_that_are_not_whole(spark, small_blocks):
+    rows = [(i, [1.0, 1.0]) for i in range(40)] + [(50, [1.0, 2.0]), (51, [9.0, -0.0]), (52, None), (53, [1.0, None]),
+                                                   (54, [float("nan"), 0.0]), (55, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = {}
+    for r in N.knn_join(df, df, 2, skip_self=True).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["neighbor_id"], r["distance"])
+    assert set(got) == {*range(40), 50, 51}
+    assert got[0] == {1: (1, 0.0), 2: (2, 0.0)} and got[1] == {1: (0, 0.0), 2: (2, 0.0)} and got[30] == {1: (0, 0.0), 2: (1, 0.0)}
+    assert got[50] == {1: (0, 1.0), 2: (1, 1.0)}
+    with pytest.raises(ValueError):
+        N.knn_join(df, df.filter("id >= 52"), 1)
+
+
 def test_queries_far_from_the_base(spark, small_blocks):
     base, asked = frame(spark, points()).select("id", "vec"), spark.createDataFrame([(5, [100.0] * 5), (6, [-3.0] * 5)], "id long, vec array<double>")
     out = N.knn_join(asked, base, 2).collect()
