@@ -326,6 +326,32 @@ def dense_scores(items: DataFrame, groups: DataFrame, item: str, group: str, vec
     return out.select(F.col("id").alias(item), F.col("gid").alias(group), "score")
 
 
+def best_groups(items: DataFrame, groups: DataFrame, k: int, item: str, group: str, vector: str = "vec",
+                group_vector: str = "group_vec", unit: bool = True) -> DataFrame:
+    """The ``k`` groups of highest score per item, without the matrix of all scores: (item, group, score, rank), ties by group.
+
+    Scores are dot products, of the normalized vectors unless ``unit`` is off.  A further coordinate brings all groups to
+    the length of the longest, which is one number for the driver, and is zero in the items: then the nearest group is the
+    one of highest score, and the search of :func:`knn_join` prunes whole blocks of groups.  The scores of the ``k`` pairs
+    are then taken from the given vectors; scores closer than 1e-15 of the longest length squared count as tied.  Items and
+    groups whose vectors are missing or not finite are left out; without groups there are no rows.
+    """
+    shape = V.normalize if unit else (lambda v: F.transform(v, lambda x: x.cast("double")))
+    sized = groups.select(F.col(group).alias("gid"), shape(F.col(group_vector)).alias("v"))
+    sized = sized.withColumn("length", V.dot(F.col("v"), F.col("v"))).filter(F.col("length") < float("inf"))
+    sized = materialize(sized, "group-lengths")
+    longest = sized.agg(F.max("length")).first()[0]
+    kinds = items.schema[item].dataType.simpleString(), groups.schema[group].dataType.simpleString()
+    if longest is None:
+        return items.sparkSession.createDataFrame([], f"`{item}` {kinds[0]}, `{group}` {kinds[1]}, score double, rank int")
+    rest = F.sqrt(F.greatest(F.lit(longest) - F.col("length"), F.lit(0.0)))
+    base = sized.select("gid", F.concat("v", F.array(rest)).alias("vec"))
+    asked = items.select(F.col(item).alias("id"), F.concat(shape(F.col(vector)), F.array(F.lit(0.0))).alias("vec"))
+    found = knn_join(asked, base, k, "id", "gid").select(F.col("query_id").alias(item), F.col("neighbor_id").alias(group), "rank")
+    scored = score_pairs(materialize(found, "best-groups"), items, groups, item, group, vector, group_vector, unit)
+    return scored.select(item, group, "score", F.col("rank").cast("int").alias("rank"))
+
+
 def truth_ranks(items: DataFrame, groups: DataFrame, item: str, truth: str, group: str, vector: str = "vec",
                 group_vector: str = "group_vec", ties_count: bool = True) -> DataFrame:
     """1-based rank of the right group among all groups of each item: 1 + better ones (+ equals, unless told not to).

@@ -131,6 +131,23 @@ def dense_scores(t):
     return N.dense_scores(vectors(t), prototypes(t), "id", "gid").withColumn("score", F.round("score", 5))
 
 
+@query("c17_best_groups", f"""WITH {PROTO_SQL}, s AS (SELECT id, gid, list_cosine_similarity(e, pe) AS score FROM v JOIN p ON true)
+    SELECT id, gid, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, gid) AS INTEGER) AS rank FROM s
+    QUALIFY rank <= 3""")
+def best_groups(t):
+    return N.best_groups(vectors(t), prototypes(t), 3, "id", "gid").withColumn("score", F.round("score", 5))
+
+
+@query("c17_best_products", f"""WITH {VEC_SQL}, x AS (SELECT id, list_transform(e, lambda y: y * (1 + id % 4)) AS e FROM v)
+    SELECT q.id, b.id AS gid, round(list_dot_product(q.e, b.e), 5) AS score,
+      CAST(row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.e, b.e) DESC, b.id) AS INTEGER) AS rank FROM v q JOIN x b ON true
+    QUALIFY rank <= 4""")
+def best_products(t):
+    # lengths from 1 to 4, so that the best product is seldom the nearest vector
+    long = vectors(t).select(F.col("id").alias("gid"), F.transform("vec", lambda y: y.cast("double") * (1 + F.col("id") % 4)).alias("group_vec"))
+    return N.best_groups(vectors(t), long, 4, "id", "gid", unit=False).withColumn("score", F.round("score", 5))
+
+
 @query("c17_pair_scores", f"""WITH {PROTO_SQL} SELECT id, gid, round(list_cosine_similarity(e, pe), 5) AS score FROM v JOIN p ON gid = (label + 1) % 10""")
 def pair_scores(t):
     links = vectors(t).select("id", ((F.col("label") + 1) % 10).alias("gid"))

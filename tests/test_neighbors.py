@@ -137,3 +137,31 @@ def test_principal_components(spark):
     got = np.array([r["components"] for r in T.pca(frame(spark, x), "id", "vec").orderBy("id").collect()])
     values, axes = np.linalg.eigh(np.cov(x.T))
     np.testing.assert_allclose(np.abs(got), np.abs(x @ axes[:, ::-1][:, :2]), atol=1e-8)
+
+
+@pytest.mark.parametrize("unit", [True, False])
+def test_best_groups_equal_the_full_matrix(spark, small_blocks, unit):
+    rng = np.random.default_rng(8)
+    items = rng.normal(size=(40, 4))
+    groups = rng.normal(size=(60, 4)) * rng.uniform(0.1, 5, (60, 1))
+    groups[10] = groups[50]  # a tie, decided by id
+    groups[20] = 0
+    left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "id long, vec array<double>")
+    right = spark.createDataFrame([(f"g{j:02}", v.tolist()) for j, v in enumerate(groups)] + [("none", None), ("nan", [float("nan")] * 4)],
+                                  "gid string, group_vec array<double>")
+    lengths = np.linalg.norm(groups, axis=1, keepdims=True) + 1e-13
+    scores = items @ groups.T if not unit else (items / np.linalg.norm(items, axis=1, keepdims=True)) @ (groups / lengths).T
+    got = {(r["id"], r["rank"]): (r["gid"], r["score"]) for r in N.best_groups(left, right, 5, "id", "gid", unit=unit).collect()}
+    assert len(got) == 40 * 5
+    for i in range(40):
+        order = sorted(range(60), key=lambda j: (-round(scores[i, j], 12), j))[:5]
+        assert [got[i, r + 1][0] for r in range(5)] == [f"g{j:02}" for j in order]
+        np.testing.assert_allclose([got[i, r + 1][1] for r in range(5)], scores[i, order], atol=1e-12)
+
+
+def test_best_groups_of_no_groups_and_fewer_than_asked(spark):
+    left = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "id long, vec array<double>")
+    right = spark.createDataFrame([(7, [0.0, 2.0]), (8, [1.0, 1.0])], "gid long, group_vec array<double>")
+    assert N.best_groups(left, right.limit(0), 3, "id", "gid").count() == 0
+    got = N.best_groups(left, right, 3, "id", "gid", unit=False).orderBy("rank").collect()
+    assert [(r["id"], r["gid"], r["score"]) for r in got] == [(1, 8, 1.0), (1, 7, 0.0)]
