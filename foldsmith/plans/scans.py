@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import scratch_path
+from ..sources import commits as C
 from ..sources import tables as S
 from ..sources.schemas import schema_of
 from .registry import query
@@ -144,6 +145,25 @@ def rewrite_with_columns(t):
     return S.rewrite_with(t.supplier, {"solvent": F.col("s_acctbal") > 0}, "supplier")
 
 
+@query("a12_commit_once", """SELECT 'first' AS run, o_orderstatus, count(*) AS n FROM orders GROUP BY 2
+    UNION ALL SELECT 'second', o_orderpriority, count(*) FROM orders GROUP BY 2""")
+def commit_once(t):
+    path = scratch_path(t.spark, "runs")
+    for run, column in (("first", "o_orderstatus"), ("second", "o_orderpriority"), ("first", "o_orderstatus")):
+        C.commit_run(t.orders.groupBy(F.col(column).alias("o_orderstatus")).agg(F.count("*").alias("n")), path, run)
+    return C.read_runs(t.spark, path, "o_orderstatus string, n bigint")
+
+
+@query("a13_versioned_rewrite", """SELECT s_suppkey, s_acctbal, s_acctbal > 0 AS solvent, CAST(NULL AS BOOLEAN) AS rich, 1 AS version FROM supplier
+    UNION ALL SELECT s_suppkey, s_acctbal, s_acctbal > 0, s_acctbal > 5000, 2 FROM supplier""")
+def versioned_rewrite(t):
+    path = scratch_path(t.spark, "versions")
+    C.commit_version(t.supplier.select("s_suppkey", "s_acctbal"), path, None)
+    C.rewrite_version(t.spark, path, lambda old: old.withColumn("solvent", F.col("s_acctbal") > 0))
+    C.rewrite_version(t.spark, path, lambda old: old.withColumn("rich", F.col("s_acctbal") > 5000))
+    return S.read_union([C.read_version(t.spark, path, v).withColumn("version", F.lit(v)) for v in (1, 2)])
+
+
 @query("a14_pair_file", """SELECT 'p' || l_partkey AS active, count(*) AS n_decoys, min('s' || l_suppkey) AS first_decoy
     FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY 1""")
 def pair_file(t):
