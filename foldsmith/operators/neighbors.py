@@ -21,8 +21,12 @@ from .joins import join_dimension, join_group_stats
 from .rank import distributed_rank, seeded_order
 
 BLOCK = 2048
+#: Bytes of vectors in a block that is sent to a task; it is read in tiles of ``BLOCK`` rows.
+BLOCK_BYTES = 16 << 20
 #: Bytes of pivots sent to every task; a base too large for the square root of its rows gets larger cells.
 PIVOT_BYTES = 32 << 20
+#: Queries whose visits are listed at once.
+ROUTED_ROWS = 256
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -43,7 +47,11 @@ def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     shift = b.mean(axis=0)
     a, b = a - shift, b - shift
     na, nb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
-    return na[:, None] + nb - 2 * (a @ b.T), 4e-16 * (a.shape[1] + 8) * (na + nb.max())
+    squares = a @ b.T
+    squares *= -2
+    squares += na[:, None]
+    squares += nb
+    return squares, 4e-16 * (a.shape[1] + 8) * (na + nb.max())
 
 
 def _between(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +68,8 @@ class _Tree:
     ruled out, then leaves of the tops that remain.
     """
 
-    def __init__(self, pivots: np.ndarray):
+    def __init__(self, pivots: np.ndarray, block: int | None = None):
+        self.block = block or BLOCK
         self.tops = pivots[:max(1, math.isqrt(len(pivots)))]
         owner = _between(pivots, self.tops)[1].argmin(axis=1)
         order = np.argsort(owner, kind="stable")
@@ -93,12 +102,12 @@ class _Tree:
         for t in self.tops_used:
             load = 0
             for c in range(self.first[t], self.first[t + 1]):
-                if load and load + self.count[c] > BLOCK:
+                if load and load + self.count[c] > self.block:
                     hosts, load = hosts + 1, 0
                 self.host[c] = hosts
                 load += self.count[c]
             hosts += 1
-        self.blocks = np.maximum(-(-np.bincount(self.host, self.count, hosts).astype(np.int64) // BLOCK), 1)
+        self.blocks = np.maximum(-(-np.bincount(self.host, self.count, hosts).astype(np.int64) // self.block), 1)
 
     def bound(self, x: np.ndarray, need: int) -> np.ndarray:
         """The ``need``-th nearest pivot among the tops, which are base vectors: no more than that is to be searched."""
@@ -127,20 +136,49 @@ class _Tree:
 def _closest(left: pd.DataFrame, right: pd.DataFrame, need: int, limit: np.ndarray) -> pd.DataFrame:
     """(at, nid, distance): for every row of ``left`` its ``need`` nearest by (distance, id), none beyond ``limit``.
 
-    A row of ``right`` is a vector and the lowest ids that have it.  Candidates come from a matrix product with an error
-    bound; only they are measured by differences.
+    A row of ``right`` is a vector and the lowest ids that have it.  Both sides meet in tiles of ``BLOCK`` rows, of which
+    each keeps its ``need`` best so far and so narrows the limit of the next.  Candidates come from a matrix product with
+    an error bound; only they are measured by differences.
     """
     a, b = _matrix(left["vec"]), _matrix(right["vec"])
+    ids = right["ids"].to_numpy()
+    sizes = np.array([len(i) for i in ids])
+    out = []
+    for low in range(0, len(a), BLOCK):
+        rows, reach, best = a[low:low + BLOCK], limit[low:low + BLOCK].copy(), None
+        for first in range(0, len(b), BLOCK):
+            found = _tile(rows, b[first:first + BLOCK], ids[first:first + BLOCK], sizes[first:first + BLOCK], need, reach)
+            if found is None:
+                continue
+            best = found if best is None else pd.concat([best, found])
+            best = best.sort_values(["at", "distance", "nid"], kind="stable")
+            place = best.groupby("at").cumcount()
+            best = best[place < need]
+            last = best[place[place < need].to_numpy() == need - 1]
+            at = last["at"].to_numpy()
+            reach[at] = np.minimum(reach[at], last["distance"].to_numpy())
+        if best is not None:
+            out.append(best.assign(at=best["at"] + low))
+    if not out:
+        return pd.DataFrame({"at": np.array([], dtype=np.int64), "distance": np.array([], dtype=float), "nid": right["ids"].explode()[:0]})
+    return pd.concat(out, ignore_index=True)
+
+
+def _tile(a: np.ndarray, b: np.ndarray, ids: np.ndarray, sizes: np.ndarray, need: int, limit: np.ndarray) -> pd.DataFrame | None:
+    """(at, distance, nid) of the pairs of one tile that can be among the ``need`` nearest within ``limit``."""
     squares, error = _squares(a, b)
-    kth = np.partition(squares, min(need, len(b)) - 1, axis=1)[:, min(need, len(b)) - 1]
-    top = np.minimum(kth + 2 * error, np.square(limit * (1 + 1e-9)) + error)
+    top = np.square(limit * (1 + 1e-9)) + error
+    wide = np.flatnonzero((squares <= top[:, None]).sum(axis=1) > need)
+    if len(wide):  # the tile's own k-th is a closer bound
+        k = min(need, len(b)) - 1
+        top[wide] = np.minimum(top[wide], np.partition(squares[wide], k, axis=1)[:, k] + 2 * error[wide])
     at, other = np.nonzero(squares <= top[:, None])
-    ids = right["ids"].to_numpy()
-    many = np.array([len(i) for i in ids])[other]
+    if not len(at):
+        return None
+    many = sizes[other]
     found = pd.DataFrame({"at": np.repeat(at, many), "distance": np.repeat(_exact(a[at], b[other]), many)})
-    found["nid"] = np.concatenate([ids[j] for j in other]) if len(other) else right["ids"].explode()[:0]
-    found = found[np.isfinite(found["distance"])].sort_values(["at", "distance", "nid"], kind="stable")
-    return found[found.groupby("at").cumcount() < need]
+    found["nid"] = np.concatenate([ids[j] for j in other])
+    return found[np.isfinite(found["distance"])]
 
 
 def _distinct_vectors(rows: DataFrame, row_id: str, vector: str) -> DataFrame:
@@ -155,10 +193,10 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str = "id",
     """Exact ``k`` nearest base vectors of each query: (query_id, neighbor_id, distance, rank), ties by id.
 
     Equal vectors are searched once and stand for their lowest ids.  The base lies in a two-level tree of pivots, as many
-    as the square root of its vectors, its leaves cut in blocks of ``BLOCK``.  Phase one measures each query against
+    as the square root of its vectors, its leaves cut in blocks of ``BLOCK_BYTES``, which a task reads in tiles of ``BLOCK``.  Phase one measures each query against
     one block of its own leaf, which bounds its k-th distance; phase two visits the other blocks that this bound and the
     triangle inequality leave open.  Blocks meet as numpy matrices and return at most ``k`` rows a query; a block is
-    copied once per ``BLOCK`` of its visitors.  Vectors that are missing or not finite have no neighbours and are none's.
+    copied once per as many visitors as it has rows at most.  Vectors that are missing or not finite have no neighbours and are none's.
     """
     spark = base.sparkSession
     need = k + (1 if skip_self else 0)
@@ -173,7 +211,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str = "id",
         raise ValueError("the base has no vectors")
     pivots = max(1, min(math.isqrt(shape["n"]), PIVOT_BYTES // (8 * max(shape["dim"], 1))))
     chosen = stored.orderBy(seeded_order("pivot", F.col("ids")[0])).select("vec").limit(pivots).collect()
-    tree = _Tree(np.array([r["vec"] for r in chosen], dtype=np.float64))
+    block = max(BLOCK, BLOCK_BYTES // (8 * max(shape["dim"], 1)))
+    tree = _Tree(np.array([r["vec"] for r in chosen], dtype=np.float64), block)
     planted = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,7 +232,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str = "id",
     crowd = np.zeros(len(tree.blocks), dtype=np.int64)
     for r in seekers.groupBy("cell").count().collect():
         crowd[tree.host[r["cell"]]] += r["count"]
-    shares = np.maximum(-(-crowd // (BLOCK * tree.blocks)), 1)
+    shares = np.maximum(-(-crowd // (block * tree.blocks)), 1)
     measured = spark.sparkContext.broadcast((tree, shares))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +262,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str = "id",
         limit = measured.value[0].bound(_matrix(left["vec"]), need)
         found = [[] for _ in range(len(left))]
         if len(right):
-            best = _closest(left, right, need, np.full(len(left), np.inf))
+            best = _closest(left, right, need, limit)
             for at, far, nid in zip(best["at"].tolist(), best["distance"].tolist(), best["nid"].tolist()):
                 found[at].append({"distance": far, "nid": nid})  # nearest first
                 if len(found[at]) == need:
@@ -237,20 +276,20 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, query_id: str = "id",
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grown = measured.value[0]
         for pdf in batches:
-            if pdf.empty:
-                continue
-            row, leaf = grown.open(_matrix(pdf["vec"]), pdf["limit"].to_numpy())
-            row, host = np.unique(np.stack([row, grown.host[leaf]]), axis=1)
-            each = grown.blocks[host]
-            row, host = np.repeat(row, each), np.repeat(host, each)
-            block = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-            seen = (host == pdf["cell"].to_numpy()[row]) & (block == pdf["bb"].to_numpy()[row])
-            yield pdf[["qid", "vec", "h", "limit"]].iloc[row[~seen]].assign(cell=host[~seen], bb=block[~seen])
+            for low in range(0, len(pdf), ROUTED_ROWS):  # a row can go to every block
+                part = pdf.iloc[low:low + ROUTED_ROWS]
+                row, leaf = grown.open(_matrix(part["vec"]), part["limit"].to_numpy())
+                row, host = np.divmod(np.unique(row * len(grown.blocks) + grown.host[leaf]), len(grown.blocks))
+                each = grown.blocks[host]
+                row, host = np.repeat(row, each), np.repeat(host, each)
+                block = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+                seen = (host == part["cell"].to_numpy()[row]) & (block == part["bb"].to_numpy()[row])
+                yield part[["qid", "vec", "h", "limit"]].iloc[row[~seen]].assign(cell=host[~seen], bb=block[~seen])
 
     routed = materialize(bounded.select("qid", "vec", "h", "limit", "cell", "bb").mapInPandas(
         visit, f"qid {qkind}, vec array<double>, h long, limit double, cell long, bb long"), "knn-visits")
     guests = materialize(routed.groupBy("cell", "bb").agg(F.count("*").alias("n"))
-                         .withColumn("parts", F.ceil(F.col("n") / BLOCK)), "knn-guests")
+                         .withColumn("parts", F.ceil(F.col("n") / block)), "knn-guests")
     blocked = placed.drop("far").mapInPandas(deal, f"vec array<double>, ids array<{kind}>, h long, cell long, bb long, qb long").drop("qb")
     hosts = (blocked.join(guests.drop("n"), ["cell", "bb"])
              .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts", "h"))

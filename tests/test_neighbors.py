@@ -36,6 +36,35 @@ def test_neighbors_equal_all_pairs(spark, small_blocks, k, own):
         np.testing.assert_allclose([m[2] for m in mine], far[order], atol=1e-12)
 
 
+@pytest.mark.parametrize("k, own", [(1, True), (4, False)])
+def test_blocks_read_in_tiles_equal_all_pairs(spark, small_blocks, monkeypatch, k, own):
+    monkeypatch.setattr(N, "BLOCK_BYTES", 8 * 5 * 20)  # blocks of 20 rows, tiles of 7
+    monkeypatch.setattr(N, "ROUTED_ROWS", 3)
+    x = points(120, seed=8)
+    df = frame(spark, x).select("id", "vec")
+    got = {}
+    for r in N.knn_join(df, df, k, skip_self=own).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["neighbor_id"]))
+    for i, v in enumerate(x):
+        far = np.sqrt(((x - v) ** 2).sum(axis=1))
+        order = sorted((j for j in range(len(x)) if not (own and j == i)), key=lambda j: (far[j], j))[:k]
+        assert [m[1] for m in sorted(got[i])] == order
+
+
+def test_a_task_holds_tiles_not_the_product_of_its_blocks():
+    import tracemalloc
+    import pandas as pd
+    x = np.random.default_rng(3).normal(size=(9_000, 4))
+    left = pd.DataFrame({"vec": list(x)})
+    right = pd.DataFrame({"vec": list(x), "ids": [[i] for i in range(len(x))]})
+    tracemalloc.start()
+    found = N._closest(left, right, 2, np.full(len(x), np.inf))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2 * len(x) and (found["nid"].to_numpy()[::2] == found["at"].to_numpy()[::2]).all()
+    assert peak < 9_000 * 9_000 * 8 / 3
+
+
 def test_tree_visits_little_beyond_the_own_leaf():
     rng = np.random.default_rng(4)
     share = {}
