@@ -52,8 +52,10 @@ def tfidf_weights(rows: DataFrame, row_id: str, text: str, stop_words: Sequence[
     idf = materialize(seen.filter(within).select(
         "term", "n", (F.log((1 + F.col("_docs")) / (1 + F.col("n"))) + 1).alias("idf")), "idf")
     weighed = join_group_stats(counts, idf, ["term"], [row_id]).select(row_id, "term", (F.col("tf") * F.col("idf")).alias("_w"))
-    norms = weighed.groupBy(row_id).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return weighed.join(norms, row_id).select(row_id, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    # a row's terms are as many as its own text has: weights are made once and meet their norm where they are summed
+    rows_of = weighed.filter(F.col(row_id).isNotNull()).groupBy(row_id).agg(
+        F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"), F.collect_list(F.struct("term", "_w")).alias("_terms"))
+    return rows_of.select(row_id, "_norm", F.inline("_terms")).select(row_id, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
 def lsa_features(rows: DataFrame, row_id: str, text: str, stop_words: Sequence[str], n_components: int = 355,
@@ -70,7 +72,8 @@ def lsa_features(rows: DataFrame, row_id: str, text: str, stop_words: Sequence[s
     weigh = Pipeline(stages=[
         counted, ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="tf", outputCol="weighed"),
         Normalizer(inputCol="weighed", outputCol="vector"), SQLTransformer(statement=f"SELECT `{row_id}` AS index, vector FROM __THIS__")])
-    weighed = weigh.fit(worded).transform(fitted).withColumn("index", F.col("index").cast("long"))
+    # the decomposition reads the matrix once an iteration, so it is stored and not made again from the words
+    weighed = materialize(weigh.fit(worded).transform(fitted).withColumn("index", F.col("index").cast("long")), "lsa-matrix")
     k = min(n_components, len(counted.vocabulary) - 1)
     axes = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(weighed, "vector")).computeSVD(k, computeU=False).V.toArray()
     by_term = rows.sparkSession.createDataFrame(
