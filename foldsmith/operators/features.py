@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -26,23 +26,31 @@ def count_fingerprint(rows: DataFrame, row_id: str, text: str, n_bits: int, size
 
 
 def combine_fingerprints(rows: DataFrame, row_id: str, text: str, kinds: Sequence[tuple[int, ...]], n_bits: int,
-                         concatenate: bool) -> DataFrame:
-    """log(1 + count) of several fingerprints in ``n_bits``: folded onto each other, or each in a slice of its own.
+                         modes: dict[str, bool]) -> DataFrame:
+    """(row_id, bit, value, mode): log(1 + count) of several fingerprints in ``n_bits``, for every named mode.
 
-    Slices are equal shares of what is left, so the last one takes up any remainder.
+    A mode folds the fingerprints onto each other (False) or gives each a slice of its own (True).  Slices are equal shares
+    of what is left, so the last one takes up any remainder.  A feature is made and hashed once for all modes.
     """
-    widths, starts, used = [], [], 0
-    for i in range(len(kinds)):
-        widths.append((n_bits - used) // (len(kinds) - i) if concatenate else n_bits)
-        starts.append(used if concatenate else 0)
-        used += widths[-1]
-    tagged = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(at).alias("start"), X.features(F.col(text), sizes).alias("f"))
-                       for w, at, sizes in zip(widths, starts, kinds)])
+    layouts = {}
+    for mode, concatenate in modes.items():
+        widths, starts, used = [], [], 0
+        for i in range(len(kinds)):
+            widths.append((n_bits - used) // (len(kinds) - i) if concatenate else n_bits)
+            starts.append(used if concatenate else 0)
+            used += widths[-1]
+        layouts[mode] = list(zip(widths, starts))
+    tagged = F.array(*[F.struct(F.lit(i).alias("kind"), X.features(F.col(text), sizes).alias("f")) for i, sizes in enumerate(kinds)])
     parts = rows.select(row_id, F.explode(tagged).alias("_p"))
-    cells = parts.select(row_id, "_p.width", "_p.start", F.explode("_p.f").alias("_f"))
-    bit = (X.bit_of(F.col("_f"), F.col("width")) + F.col("start")).cast("int")
-    return (cells.select(row_id, bit.alias("bit")).groupBy(row_id, "bit")
-            .agg(F.log1p(F.count("*").cast("double")).alias("value")))
+    hashed = parts.select(row_id, "_p.kind", F.explode("_p.f").alias("_f")).select(row_id, "kind", X.hash_of(F.col("_f")).alias("_h"))
+
+    def place(layout: list[tuple[int, int]]) -> Column:
+        spots = [(F.col("_h") % width + start).cast("int") for width, start in layout]
+        return F.element_at(F.array(*spots), F.col("kind") + 1)
+
+    cells = F.array(*[F.struct(F.lit(mode).alias("mode"), place(layout).alias("bit")) for mode, layout in layouts.items()])
+    return (hashed.select(row_id, F.inline(cells)).groupBy(row_id, "mode", "bit")
+            .agg(F.log1p(F.count("*").cast("double")).alias("value")).select(row_id, "bit", "value", "mode"))
 
 
 def max_pool_bits(rows: DataFrame, keys: Sequence[str], bits: str) -> DataFrame:
