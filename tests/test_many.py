@@ -127,3 +127,13 @@ def test_pipelines_over_all_datasets(rows, outer):
                                   ["HoldoutCV", "SingleNestedCV", "NestedCV", "ConsensusNestedCV"], inner_folds=2).collect()
     assert len({(r.ds, r.drop_siblings, r.pipeline) for r in out}) == len(out) == 3 * 2 * 4
     assert all(r.auroc > 0.8 for r in out if r.ds == "d2") and not any(math.isnan(r.auroc) for r in out)
+
+
+def test_algorithms_share_folds_and_units(rows, outer, monkeypatch):
+    placed, place = [], many.place_units
+    monkeypatch.setattr(many, "place_units", lambda *args: placed.append(args[2]) or place(*args))
+    grids = {"LINEAR": [{"reg": 0.01, "iterations": 2}], "FOREST": [{"trees": 2, "depth": 1}]}
+    some = F.col("ds") == "d2"
+    out = many.benchmark_many(rows.filter(some), outer.filter(some), ["ds", "drop_siblings"], ["ds"], grids, ["NestedCV"], inner_folds=2).collect()
+    assert {(r.algo, r.drop_siblings) for r in out} == {(a, s) for a in grids for s in (True, False)}
+    assert sorted(map(len, placed)) == [3, 4]  # the outer and the inner units once, not once an algorithm
