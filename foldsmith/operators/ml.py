@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 
 from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..session import materialize
 from . import metrics as M
-from .neighbors import knn_classify
+from .neighbors import knn_shares, knn_votes
 from .report import most_frequent, nan_mean
 from .splits import aligned_split, nested_splits, stratified_kfold
 
@@ -54,8 +55,31 @@ def _linear_svm(train: DataFrame, test: DataFrame, params: dict, row_id: str) ->
     return scored.select(row_id, V.sigmoid(vector_to_array("rawPrediction")[1]).alias("probability"), "prediction")
 
 
+class Search:
+    """The nearest training rows of one fold's test rows, looked for once by whichever fit comes first, for the largest ``k``."""
+
+    def __init__(self, configs: Iterable[dict]):
+        self.k, self.lock, self.votes = max(_k(c) for c in configs), Lock(), None
+
+    def __call__(self, train: DataFrame, test: DataFrame, row_id: str) -> DataFrame:
+        with self.lock:
+            if self.votes is None:
+                self.votes = materialize(knn_votes(train, test, self.k, row_id, "label", "features"), "neighbor-labels")
+            return self.votes
+
+
+def _k(params: dict) -> int:
+    return params.get("k", 5)
+
+
 def _neighbors(train: DataFrame, test: DataFrame, params: dict, row_id: str) -> DataFrame:
-    return knn_classify(train, test, params.get("k", 5), row_id, "label", "features")
+    votes = params.get("search", Search([params]))(train, test, row_id)
+    return knn_shares(votes, _k(params), row_id, "label")
+
+
+def _searching(algo: str, config: dict, search: Search | None) -> dict:
+    """``config``, with the search that the fold's fits have in common."""
+    return config if algo != "KNN" or search is None else {**config, "search": search}
 
 
 ALGORITHMS: dict[str, Fit] = {"RF": _forest, "GB": _boosted, "SVM": _linear_svm, "KNN": _neighbors}
@@ -109,8 +133,9 @@ def grid_search(features: DataFrame, inner: DataFrame, algo: str, grid: dict[str
     """
     configs = expand_grid(grid)
     cells = sorted((r["outer_fold"], r["fold"]) for r in inner.select("outer_fold", "fold").distinct().collect())
-    jobs = [({"outer_fold": o, "config": i, "fold": f}, inner.filter((F.col("outer_fold") == o) & (F.col("fold") == f)), algo, c)
-            for o, f in cells for i, c in enumerate(configs)]
+    shared = {cell: Search(configs) for cell in cells} if algo == "KNN" else {}
+    jobs = [({"outer_fold": o, "config": i, "fold": f}, inner.filter((F.col("outer_fold") == o) & (F.col("fold") == f)), algo,
+             _searching(algo, c, shared.get((o, f)))) for i, c in enumerate(configs) for o, f in cells]
     predictions = fit_all(features, jobs, row_id)
     means = {}
     if predictions is not None:
@@ -135,7 +160,11 @@ def _on_folds(features: DataFrame, outer: DataFrame, algo: str, chosen: dict[int
     """Metrics of the chosen configuration of every fold; what ``done`` holds from another pipeline is not fitted again."""
     known = {} if done is None else done.setdefault("scored", {})
     new = {f: c for f, c in chosen.items() if (f, _key(c)) not in known}
-    predictions = fit_all(features, [({"fold": f}, outer.filter(F.col("fold") == f), algo, c) for f, c in new.items()], row_id) if new else None
+    searches: dict[int, Search] = {} if done is None else done.setdefault("searches", {})
+    for f in new if algo == "KNN" and done and "configs" in done else ():
+        searches.setdefault(f, Search(done["configs"]))
+    jobs = [({"fold": f}, outer.filter(F.col("fold") == f), algo, _searching(algo, c, searches.get(f))) for f, c in new.items()]
+    predictions = fit_all(features, jobs, row_id) if new else None
     scored = None if predictions is None else materialize(score(predictions, features, ["fold"], row_id), "fold-scores")
     known.update({(f, _key(c)): None if scored is None else scored.filter(F.col("fold") == f) for f, c in new.items()})
     parts = [p for p in (known[f, _key(c)] for f, c in chosen.items()) if p is not None]
@@ -161,7 +190,7 @@ def _mean(scored: DataFrame) -> DataFrame:
 
 def _best_outer(splits: dict[str, DataFrame]) -> int:
     best = splits["best"].first()
-    if best is None:
+    if best is None or best["best_fold"] is None:
         raise ValueError("no outer fold has both classes on both sides")
     return best["best_fold"]
 
@@ -208,7 +237,7 @@ def run_pipelines(features: DataFrame, outer: DataFrame, algo: str, grid: dict[s
     rows = materialize(features.select(row_id, "features", "label"), "features")
     outer = materialize(outer.select(row_id, "fold", "role"), "outer-folds")
     splits = {k: materialize(v, f"nested-{k}") for k, v in nested_splits(outer, rows, [], row_id, "label", inner_folds).items()}
-    done: dict = {}
+    done: dict = {"configs": expand_grid(grid)}
     parts = [PIPELINES[p](rows, outer, splits, algo, grid, row_id=row_id, done=done).withColumn("pipeline", F.lit(p)) for p in pipelines]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

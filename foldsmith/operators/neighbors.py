@@ -417,12 +417,22 @@ def truth_ranks(items: DataFrame, groups: DataFrame, item: str, truth: str, grou
     return summed.select(F.col("id").alias(item), rank.alias("rank"))
 
 
+def knn_votes(train: DataFrame, test: DataFrame, k: int, row_id: str, label: str, vector: str = "vec") -> DataFrame:
+    """(row_id, rank, label) of the ``k`` nearest training rows of each test row; a smaller ``k`` is read off by rank."""
+    found = materialize(knn_join(test, train, k, row_id, row_id, vector).select("query_id", "neighbor_id", "rank"), "knn-votes")
+    voted = join_dimension(found, train.select(F.col(row_id).alias("neighbor_id"), label), ["neighbor_id"], ["query_id"])
+    return voted.select(F.col("query_id").alias(row_id), "rank", label)
+
+
+def knn_shares(votes: DataFrame, k: int, row_id: str, label: str) -> DataFrame:
+    """(row_id, probability, prediction): share of positives among the ``k`` first of :func:`knn_votes`."""
+    share = votes.filter(F.col("rank") <= k).groupBy(row_id).agg(F.avg(label).alias("probability"))
+    return share.withColumn("prediction", (F.col("probability") > 0.5).cast("double"))
+
+
 def knn_classify(train: DataFrame, test: DataFrame, k: int, row_id: str, label: str, vector: str = "vec") -> DataFrame:
     """(row_id, probability, prediction): share of positives among the ``k`` nearest training rows."""
-    found = knn_join(test, train, k, row_id, row_id, vector)
-    voted = join_dimension(materialize(found, "knn-votes"), train.select(F.col(row_id).alias("neighbor_id"), label), ["neighbor_id"], ["query_id"])
-    share = voted.groupBy(F.col("query_id").alias(row_id)).agg(F.avg(label).alias("probability"))
-    return share.withColumn("prediction", (F.col("probability") > 0.5).cast("double"))
+    return knn_shares(knn_votes(train, test, k, row_id, label, vector), k, row_id, label)
 
 
 def smote(rows: DataFrame, row_id: str, vector: str, label: str, k: int = 6, seed: int = 42) -> DataFrame:

@@ -83,3 +83,19 @@ def test_pipelines_share_their_fits(spark, monkeypatch):
     out = {r["pipeline"]: r["auroc"] for r in ml.run_pipelines(rows, outer, "KNN", {"c": [0, 1]}, list(ml.PIPELINES)).collect()}
     assert out == pytest.approx({"HoldoutCV": 11.0, "SingleNestedCV": 11.0, "NestedCV": 31 / 3, "ConsensusNestedCV": 10.0})
     assert sorted(tuned) == [0, 1, 2] and sorted(fits) == [(f, c) for f in range(3) for c in range(2)]  # each once
+
+
+def test_neighbors_are_searched_once_a_fold(rows, monkeypatch):
+    searched, votes = [], ml.knn_votes
+    monkeypatch.setattr(ml, "knn_votes", lambda train, test, k, *rest: searched.append(k) or votes(train, test, k, *rest))
+    outer = stratified_kfold(rows, [], "id", "label", 2)
+    ml.run_pipelines(rows, outer, "KNN", {"k": [3, 5]}, list(ml.PIPELINES), inner_folds=2)
+    assert searched == [5] * (2 * 2 + 2)  # every inner and outer fold, whatever the number of configurations and pipelines
+
+
+def test_a_smaller_k_is_read_off_the_largest_search(rows):
+    fold = stratified_kfold(rows, [], "id", "label", 2).filter("fold = 0")
+    search = ml.Search([{"k": 3}, {"k": 9}])
+    for k in (9, 3, 1):
+        shared, own = (sorted(tuple(r) for r in ml.train_predict(rows, fold, "KNN", {"k": k} | more).collect()) for more in ({"search": search}, {}))
+        assert shared == own and len(own) == 30
