@@ -137,3 +137,17 @@ def test_algorithms_share_folds_and_units(rows, outer, monkeypatch):
     out = many.benchmark_many(rows.filter(some), outer.filter(some), ["ds", "drop_siblings"], ["ds"], grids, ["NestedCV"], inner_folds=2).collect()
     assert {(r.algo, r.drop_siblings) for r in out} == {(a, s) for a in grids for s in (True, False)}
     assert sorted(map(len, placed)) == [3, 4]  # the outer and the inner units once, not once an algorithm
+
+
+def test_registered_benchmark_does_the_whole_job(monkeypatch):
+    from foldsmith.plans import learning
+    given = {}
+    monkeypatch.setattr(learning, "vector_datasets", lambda t: None)
+    monkeypatch.setattr(learning, "sibling_variants", lambda rows, split: split(rows))
+    monkeypatch.setattr(learning, "stratified_kfold", lambda *args: given.setdefault("folds", args[4:]))
+    monkeypatch.setattr(many, "benchmark_many", lambda rows, outer, keys, dataset, grids, pipelines, **more: given.update(grids=grids, pipelines=pipelines, more=more))
+    learning.benchmark_datasets(None)
+    linear, forest = given["grids"]["LINEAR"], given["grids"]["FOREST"]
+    # the five outer and inner folds, 25 steps, 10 trees and 4 levels that the operators take if not told otherwise
+    assert given["folds"] == () and "inner_folds" not in given["more"] and len(given["pipelines"]) == 4
+    assert linear[0].get("iterations", 25) >= 25 and max(c["trees"] for c in forest) >= 10 and max(c["depth"] for c in forest) >= 4
